@@ -74,9 +74,9 @@ def status_counts(placed: DataFrame, snapshots: DataFrame | None = None) -> Data
     else:
         listed = snapshots.select(F.array_sort(F.collect_set("snapshot"))).scalar()
         spans = live.groupBy("agency", "status", "appointment_type", "first_snapshot", "last_snapshot").agg(F.count(F.lit(1)).alias("rows"))
-        dated = spans.withColumn("snapshot", F.explode(
-            F.filter(listed, lambda s: s.between(F.col("first_snapshot"), F.col("last_snapshot")))
-        ))
+        dated = spans.withColumn("listed", listed).withColumn("snapshot", F.explode(
+            F.filter("listed", lambda s: s.between(F.col("first_snapshot"), F.col("last_snapshot")))
+        )).drop("listed")
     amount = F.col("rows") if "rows" in dated.columns else F.lit(1)
     filled, vacant = F.col("status") == "Filled", F.col("status") == "Vacant"
     political = classify.is_political("appointment_type")
