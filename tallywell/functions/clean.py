@@ -38,7 +38,9 @@ def unit_code(
 
 
 def disclosed_pay(pay: Column | str = "annualized_adjusted_basic_pay") -> Column:
-    return _col(pay).try_cast("double")
+    """Pay as a number. The usual non-numbers are sorted out first: a failed parse costs far more than a comparison."""
+    pay = _col(pay)
+    return F.when(~pay.isin(fixed.REDACTED, ""), pay.try_cast("double"))
 
 
 def pay_band(pay: Column | str = "annualized_adjusted_basic_pay", undisclosed_only: bool = False) -> Column:
@@ -66,7 +68,8 @@ def age_floor(bracket: Column | str = "age_bracket") -> Column:
 
 
 def service_years(c: Column | str = "length_of_service_years") -> Column:
-    return _col(c).try_cast("double")
+    c = _col(c)
+    return F.when(~c.isin(fixed.REDACTED, ""), c.try_cast("double"))
 
 
 def multiplicity(c: Column | str = "count") -> Column:

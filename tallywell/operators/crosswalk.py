@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
@@ -144,7 +144,8 @@ def match_quality(placed: DataFrame, weight: str | None = None) -> DataFrame:
     by_method = placed.groupBy(F.coalesce("method", F.lit("unmatched")).alias("method")).agg(
         F.count(F.lit(1)).alias("targets"), amount.alias("weight")
     )
-    total = by_method.select(F.sum("weight")).scalar()
+    # There are four methods at most, so the total is a window over four rows.
+    total = F.sum("weight").over(Window.partitionBy(F.lit(0)))
     return by_method.withColumn("share", F.try_divide(F.col("weight").cast("double"), total))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
 from tallywell.functions import periods
-from tallywell.schema import as_values, flat
+from tallywell.schema import as_values, flat, notation_name, notation_rank
 from tallywell.session import cut_lineage, literal_table
 
 
@@ -97,11 +97,11 @@ def coarsen(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     newest = F.max_by("value", F.when(F.col("value").isNotNull(), F.col("period_start")))
     return (
         rows.withColumn("whole", periods.containing_any("period_start", "target"))
-        .groupBy(*parts, "whole")
+        .groupBy(*parts, "whole", "rule", "expected")
         .agg(
-            F.first("rule").alias("rule"), F.first("expected").alias("expected"), F.count(F.lit(1)).alias("found"),
+            F.count(F.lit(1)).alias("found"),
             F.sum("value").alias("total"), F.avg("value").alias("mean"), newest.alias("newest"),
-            F.max("notation").alias("notation"),
+            notation_name(F.max(notation_rank("notation"))).alias("notation"),
         )
         .select(
             *parts,
@@ -186,15 +186,16 @@ def evaluate(values: DataFrame, nodes: DataFrame, measures: Sequence[Measure], c
         [(m.code, m.pattern, m.cadence, len(m.terms), fixed.UNIT_SCALE.get(m.unit, 1.0), m.notation, m.levels) for m in measures],
     )
     first, second = F.col("term") == 0, F.col("term") == 1
-    gathered = components(values, measures, catalog).groupBy("derived", "node", "period_start").agg(
+    served = components(values, measures, catalog).withColumn("noted", notation_rank("notation"))
+    gathered = served.groupBy("derived", "node", "period_start").agg(
         F.bool_or(first).alias("started"),
         F.max(F.when(first, F.col("value"))).alias("num"),
         F.max(F.when(second, F.col("value"))).alias("den"),
-        F.max(F.when(first, F.col("notation"))).alias("num_note"),
-        F.max(F.when(second, F.col("notation"))).alias("den_note"),
+        notation_name(F.max(F.when(first, F.col("noted")))).alias("num_note"),
+        notation_name(F.max(F.when(second, F.col("noted")))).alias("den_note"),
         F.sum(F.col("sign") * F.col("value")).alias("total"),
         F.bit_count(F.bit_or("term_bit")).alias("present"),
-        F.max("notation").alias("any_note"),
+        notation_name(F.max("noted")).alias("any_note"),
     )
     ratio, additive = F.col("pattern") == "ratio", F.col("pattern") == "additive"
     undefined = F.col("den").isNull() | (F.col("den") == 0)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
 from tallywell.functions import clean, periods
-from tallywell.schema import KEY_COLUMNS, as_values
+from tallywell.schema import KEY_COLUMNS, VALUE_COLUMNS, as_values, notation_name, notation_rank
+from tallywell.session import broadcast_checked, cut_lineage
 
 
 class EraError(ValueError):
@@ -43,14 +44,13 @@ def fact_rollup(records: DataFrame, dataset: str, file_month: Column | str | Non
     for source, name in {**fixed.DATASET_DIMS[dataset], **fixed.COMMON_DIMS}.items():
         dims.append(special.get(source, F.col(source)).alias(name))
     dims.append(clean.pay_band(undisclosed_only=True).alias("pay_band"))
-    people = clean.multiplicity()
-    pay = clean.disclosed_pay()
+    people = F.col("_people")
     stated = ~F.col("annualized_adjusted_basic_pay").isin(fixed.REDACTED, "")
-    return records.groupBy(*dims).agg(
+    return parsed(records).groupBy(*dims).agg(
         F.sum(people).alias("n"),
-        F.sum(pay * people).alias("pay_sum"),
+        F.sum(F.col("_pay") * people).alias("pay_sum"),
         F.sum(F.when(stated, people).otherwise(0)).alias("pay_n"),
-        F.sum(clean.service_years() * people).alias("los_sum"),
+        F.sum(F.col("_years") * people).alias("los_sum"),
     )
 
 
@@ -66,12 +66,25 @@ class BaseMeasure:
     needs: tuple[str, ...] = field(default=())
 
 
+# Fields every measure reads, parsed once per record: name, expression, raw column.
+_PARSED = (
+    ("_people", clean.multiplicity, "count"),
+    ("_age", clean.age_floor, "age_bracket"),
+    ("_years", clean.service_years, "length_of_service_years"),
+    ("_pay", clean.disclosed_pay, "annualized_adjusted_basic_pay"),
+)
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    return records.withColumns({name: parse(raw) for name, parse, raw in _PARSED if raw in records.columns})
+
+
 def _people_if(condition: Column) -> Column:
-    return F.when(condition, clean.multiplicity()).otherwise(0)
+    return F.when(condition, F.col("_people")).otherwise(0)
 
 
 def employment_measures() -> list[BaseMeasure]:
-    people, age, years, pay = clean.multiplicity(), clean.age_floor(), clean.service_years(), clean.disclosed_pay()
+    people, age, years, pay = (F.col(name) for name, _, _ in _PARSED)
     col = F.col
     eligible = F.lit(False)
     for floor, service in fixed.RETIREMENT_RULES:
@@ -104,20 +117,20 @@ def action_measures(dataset: str) -> list[BaseMeasure]:
     if dataset == "accessions":
         kind, needs = F.col("accession_category_code"), ("accession_category_code",)
         return [
-            BaseMeasure("accessions", clean.multiplicity()),
+            BaseMeasure("accessions", F.col("_people")),
             BaseMeasure("new_hires", _people_if(kind.isin(*fixed.NEW_HIRE_CODES)), needs),
             BaseMeasure("transfers_in", _people_if(kind.isin(*fixed.TRANSFER_IN_CODES)), needs),
         ]
     kind, needs = F.col("separation_category_code"), ("separation_category_code",)
     return [
-        BaseMeasure("separations", clean.multiplicity()),
+        BaseMeasure("separations", F.col("_people")),
         BaseMeasure("quits", _people_if(kind.isin(*fixed.QUIT_CODES)), needs),
         BaseMeasure("retirements", _people_if(kind.isin(*fixed.RETIREMENT_CODES)), needs),
         BaseMeasure("rifs", _people_if(kind.isin(*fixed.RIF_CODES)), needs),
         BaseMeasure("transfers_out", _people_if(kind.isin(*fixed.TRANSFER_OUT_CODES)), needs),
         BaseMeasure("terminations", _people_if(kind.isin(*fixed.TERMINATION_CODES)), needs),
         BaseMeasure("deferred_resignations", _people_if(F.col("drp_indicator") == "Y"), ("drp_indicator",)),
-        BaseMeasure("first_year_separations", _people_if(clean.service_years() < 1)),
+        BaseMeasure("first_year_separations", _people_if(F.col("_years") < 1)),
     ]
 
 
@@ -128,7 +141,7 @@ def available(measures: Sequence[BaseMeasure], columns: Sequence[str]) -> list[B
 def conditional_sums(records: DataFrame, keys: Mapping[str, Column], measures: Sequence[BaseMeasure]) -> DataFrame:
     """All measures in one pass and one shuffle, wide."""
     measures = available(measures, records.columns)
-    return records.groupBy(*[c.alias(name) for name, c in keys.items()]).agg(
+    return parsed(records).groupBy(*[c.alias(name) for name, c in keys.items()]).agg(
         *[F.sum(m.amount).cast("double").alias(m.code) for m in measures]
     )
 
@@ -216,20 +229,45 @@ def source_version(source: Column | str) -> Column:
     return F.coalesce(F.regexp_extract(source, r"_(\d+)$", 1).try_cast("int"), F.lit(0))
 
 
-def resolve_duplicates(values: DataFrame, flow_measures: Sequence[str]) -> DataFrame:
-    """Flows add up over files; stocks take the non-null value of the newest file."""
-    newest = F.struct(F.regexp_replace("source_ref", r"_\d+$", ""), source_version("source_ref"))
-    stock = F.max_by("value", F.when(F.col("value").isNotNull(), newest))
-    total = F.sum("value")
-    # A node, period or measure may hold most rows; both aggregates combine before the shuffle.
+def number_sources(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a source number in place of the reference, and the list of (source_no, source_ref).
+
+    Numbers follow the order of names and, within a name, of versions. They are what duplicates and roll-ups
+    compare: a maximum of numbers stays in a hash aggregate. There are as many sources as files were loaded.
+    """
+    from pyspark.sql import Window
+
+    order = Window.orderBy(F.regexp_replace("source_ref", r"_\d+$", ""), source_version("source_ref"), "source_ref")
+    listed = values.select(F.coalesce("source_ref", F.lit("")).alias("source_ref")).distinct()
+    sources = cut_lineage(listed.withColumn("source_no", F.row_number().over(order)))
+    numbered = values.withColumn("source_ref", F.coalesce("source_ref", F.lit(""))).join(
+        broadcast_checked(sources), "source_ref"
+    ).drop("source_ref")
+    return numbered, sources
+
+
+def name_sources(numbered: DataFrame, sources: DataFrame) -> DataFrame:
+    return numbered.join(broadcast_checked(sources), "source_no").select(*VALUE_COLUMNS)
+
+
+def resolve_numbered(values: DataFrame, flow_measures: Sequence[str]) -> DataFrame:
+    """One row per key: flows add up over sources, stocks take the non-null value of the highest source number."""
+    stock = F.max_by("value", F.when(F.col("value").isNotNull(), F.col("source_no")))
+    # A node, period or measure may hold most rows; all of this combines before the shuffle.
     return values.groupBy(*KEY_COLUMNS).agg(
-        F.when(F.col("measure").isin(*flow_measures), total).otherwise(stock).alias("value"),
+        F.when(F.col("measure").isin(*flow_measures), F.sum("value")).otherwise(stock).alias("value"),
         F.lit(None).cast("long").alias("n"),
-        F.max("notation").alias("notation"),
-        F.max(F.struct(newest.alias("order"), F.col("source_ref")))["source_ref"].alias("source_ref"),
+        notation_name(F.max(notation_rank("notation"))).alias("notation"),
+        F.max("source_no").alias("source_no"),
     )
 
 
+def resolve_duplicates(values: DataFrame, flow_measures: Sequence[str]) -> DataFrame:
+    """Flows add up over files; stocks take the non-null value of the newest file."""
+    numbered, sources = number_sources(values)
+    return name_sources(resolve_numbered(numbered, flow_measures), sources)
+
+
 def most_frequent(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Most frequent value of each column per key, lowest value on ties, nulls not counted.
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
 from tallywell.functions import names
-from tallywell.schema import KEY_COLUMNS, as_values
+from tallywell.operators import facts
+from tallywell.schema import KEY_COLUMNS, as_values, notation_name, notation_rank
 from tallywell.session import literal_table
 
 ROOT = "gov"
@@ -24,18 +25,13 @@ def _totals(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEY_COLUMNS).agg(
         F.sum("value").alias("value"),
         F.lit(None).cast("long").alias("n"),
-        F.max("notation").alias("notation"),
-        F.max("source_ref").alias("source_ref"),
+        notation_name(F.max(notation_rank("notation"))).alias("notation"),
+        F.max("source_no").alias("source_no"),
     )
 
 
-def roll_up(leaf: DataFrame, agency_department: DataFrame, agency_of: Column | None = None) -> DataFrame:
-    """Leaf rows plus agency, department and government totals.
-
-    Flat rows come in per sub-element and are summed to their agency; dimensioned rows come in per agency. Each
-    level is built from the one below, so the second shuffle already carries agencies instead of leaves.
-    `agency_of` maps a leaf node to its agency; the default is the two-character prefix.
-    """
+def roll_up_numbered(leaf: DataFrame, agency_department: DataFrame, agency_of: Column | None = None) -> DataFrame:
+    """`roll_up` over rows that carry source numbers."""
     agency_of = F.substring("node", 1, 2) if agency_of is None else agency_of
     flat_rows = leaf.filter(F.col("dim").isNull())
     dimensioned = leaf.filter(F.col("dim").isNotNull())
@@ -49,6 +45,17 @@ def roll_up(leaf: DataFrame, agency_department: DataFrame, agency_of: Column | N
     return flat_rows.unionByName(agencies).unionByName(_totals(upward))
 
 
+def roll_up(leaf: DataFrame, agency_department: DataFrame, agency_of: Column | None = None) -> DataFrame:
+    """Leaf rows plus agency, department and government totals.
+
+    Flat rows come in per sub-element and are summed to their agency; dimensioned rows come in per agency. Each
+    level is built from the one below, so the second shuffle already carries agencies instead of leaves.
+    `agency_of` maps a leaf node to its agency; the default is the two-character prefix.
+    """
+    numbered, sources = facts.number_sources(leaf)
+    return facts.name_sources(roll_up_numbered(numbered, agency_department, agency_of), sources)
+
+
 def roll_up_closure(leaf: DataFrame, closure: DataFrame, amount: str = "value", keys: Sequence[str] = ()) -> DataFrame:
     """Totals at every ancestor in one grouping, for trees whose codes carry no prefix."""
     return (
@@ -244,12 +251,15 @@ def org_tree(nodes: DataFrame, monthly: DataFrame) -> DataFrame:
     )
 
 
-def children_arrays(tree: DataFrame, keep: int | None = None) -> DataFrame:
-    """Children of each node by latest headcount. With `keep` the list is a report: the largest `keep` children."""
-    ranked = tree.filter(F.col("parent").isNotNull())
-    if keep is not None:
-        order = Window.partitionBy("parent").orderBy(F.desc("latest"), "code")
-        ranked = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+def ordered_children(tree: DataFrame) -> DataFrame:
+    """All children of every node, largest first, as a distributed sort."""
+    return tree.filter(F.col("parent").isNotNull()).select("parent", "code", "latest").orderBy("parent", F.desc("latest"), "code")
+
+
+def children_arrays(tree: DataFrame, keep: int = fixed.CHILDREN_TOP) -> DataFrame:
+    """The largest `keep` children of each node as an array, for a node's document."""
+    order = Window.partitionBy("parent").orderBy(F.desc("latest"), "code")
+    ranked = tree.filter(F.col("parent").isNotNull()).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
     entry = F.struct((-F.col("latest")).alias("order"), F.col("code"))
     return ranked.groupBy(F.col("parent").alias("code")).agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["code"]).alias("children")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
 from tallywell.functions import classify, clean, periods
+from tallywell.operators.slices import with_slice
 from tallywell.schema import as_values
 
 POSITION_COLUMNS = [
@@ -129,32 +130,29 @@ def directory(positions: DataFrame, crosswalk: DataFrame) -> DataFrame:
     ).orderBy("last_name", "first_name", "individual_id", "title")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column | str], name: str = "seq") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], lead: str, order: Sequence[Column | str], name: str = "seq") -> DataFrame:
     """Row numbers per key without sorting a whole key in one task.
 
-    `block` is a coarse, order-preserving part of the sort order, such as a month. Rows are numbered inside
-    (key, block) and shifted by the number of rows in the key's earlier blocks.
+    `lead` is the first column of the order. Its quantile slices cut a crowded key into many small sorts; rows are
+    numbered inside (key, slice) and shifted by the number of rows in the key's earlier slices.
     """
     keys = list(keys)
-    blocked = df.withColumn("_block", block)
-    sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy(F.col("_block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    blocked = with_slice(df, lead, "_slice")
+    sizes = blocked.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    # At most one row per key and slice.
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *[F.col(k).alias("_" + k) for k in keys], F.col("_block").alias("_at"),
+        *keys, "_slice",
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(whole).alias("_rows"),
+        F.sum("_size").over(Window.partitionBy(*keys)).alias("_rows"),
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = blocked.withColumn("_local", F.row_number().over(inside))
-    match = F.col("_block").eqNullSafe(F.col("_at"))
-    for k in keys:
-        match = match & (F.col(k) == F.col("_" + k))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        local.join(offsets, match)
+        blocked.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, [*keys, "_slice"])
         .withColumn(name, (F.col("_local") + F.col("_before")).cast("long"))
         .withColumn(name + "_of", F.col("_rows"))
-        .drop("_block", "_local", "_at", "_before", "_rows", *["_" + k for k in keys])
+        .drop("_slice", "_local", "_before", "_rows")
     )
 
 
@@ -162,7 +160,7 @@ def timelines(positions: DataFrame) -> DataFrame:
     """Every position of people who held more than one, numbered by begin date; unknown dates come first."""
     known = positions.filter(F.col("individual_id").isNotNull())
     order = [F.col("begin_date").asc_nulls_first(), "title", "agency_name", "org_name", "status"]
-    return numbered(known, ["individual_id"], F.trunc("begin_date", "month"), order).filter(F.col("seq_of") > 1).select(
+    return numbered(known, ["individual_id"], "begin_date", order).filter(F.col("seq_of") > 1).select(
         "individual_id", clean.full_name("first_name", "last_name").alias("name"), "seq", "title", "agency_name",
         "org_name", "status", "appointment_type", "begin_date", "vacate_date", "level_grade_pay",
     )

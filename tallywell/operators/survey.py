@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
+from tallywell.operators.slices import with_slice
 
 
 def weighted_share(answer: Column | str, hits: Sequence[str], base: Sequence[str], weight: Column | str = "w") -> Column:
@@ -85,7 +86,7 @@ def top_two_box(options: Column | str) -> Column:
     return F.when((F.size(options) >= 6) & (total(five) > 0), 100.0 * total(F.slice(options, 4, 2)) / total(five))
 
 
-def average_rank(df: DataFrame, column: str, group: Sequence[str] = (), slices: int = 256) -> DataFrame:
+def average_rank(df: DataFrame, column: str, group: Sequence[str] = ()) -> DataFrame:
     """(group, value, rank): average ranks of the distinct values, computed without gathering a group in one task.
 
     Values are counted first, so ties are single rows. Quantile cut points split the value range into slices;
@@ -94,17 +95,11 @@ def average_rank(df: DataFrame, column: str, group: Sequence[str] = (), slices:
     """
     group = list(group)
     counts = df.filter(F.col(column).isNotNull()).groupBy(*group, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("times"))
-    points = [i / slices for i in range(1, slices)]
-    cuts = counts.select(F.percentile_approx("value", points, 1000)).scalar()
-    sliced = counts.withColumn("_cuts", cuts).withColumn(
-        "slice", F.size(F.filter("_cuts", lambda c: c < F.col("value")))
-    ).drop("_cuts")
+    sliced = with_slice(counts, "value", "slice")
     totals = sliced.groupBy(*group, "slice").agg(F.sum("times").alias("in_slice"))
-    # At most `slices` rows per group, so this window is small for any input.
-    before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1) if group else (
-        Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.withColumn("offset", F.coalesce(F.sum("in_slice").over(before), F.lit(0))).drop("in_slice")
+    # One row per slice, so this window is small for any input.
+    whole = Window.partitionBy(*(group or [F.lit(0)])).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("offset", F.coalesce(F.sum("in_slice").over(whole), F.lit(0))).drop("in_slice")
     inside = Window.partitionBy(*group, "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     return (
         sliced.join(offsets, [*group, "slice"])

@@ -29,8 +29,9 @@ class Sources:
 def base_values(sources: Sources, catalog: evaluate.Catalog = CATALOG) -> DataFrame:
     """Base rows at every level: duplicates resolved, rolled up, zero rows and group headcounts added."""
     flow_specs = flows(catalog)
-    leaf = facts.resolve_duplicates(sources.extracts, [code for code, _ in flow_specs])
-    rolled = hierarchy.roll_up(leaf, sources.agency_department)
+    numbered, listed = facts.number_sources(sources.extracts)
+    leaf = facts.resolve_numbered(numbered, [code for code, _ in flow_specs])
+    rolled = facts.name_sources(hierarchy.roll_up_numbered(leaf, sources.agency_department), listed)
     out = rolled.unionByName(hierarchy.zero_fill(rolled, flow_specs))
     if sources.group_members is not None:
         out = out.unionByName(hierarchy.signed_groups(rolled, sources.group_members, sources.nodes))

@@ -133,12 +133,14 @@ def base_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _derive(spark: SparkSession, folder: str, *codes: str) -> DataFrame:
-    """The named measures and what they need, on the plain plan: two levels are shallow enough not to be cut."""
+    """The named measures and what they need. Base rows are stored, as every term reads them; two levels on top of
+    them are shallow enough not to be cut."""
     wanted = {c: CATALOG[c] for c in CATALOG if c in codes or not CATALOG[c].derived}
     for code in codes:
         for term in CATALOG[code].terms:
             wanted[term.measure] = CATALOG[term.measure]
-    values = evaluate.evaluate_all(base_values(spark, folder), standin.nodes(spark, folder), wanted, cut=lambda df: df)
+    base = materialise(base_values(spark, folder), "values")
+    values = evaluate.evaluate_all(base, standin.nodes(spark, folder), wanted, cut=lambda df: df)
     rows = values.filter(F.col("measure").isin(*codes)).select("measure", "node", "period_start", "value", "n", "notation")
     return rounded(rows, value=6)
 

@@ -49,8 +49,9 @@ def agency_department(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rolled(spark: SparkSession, folder: str) -> DataFrame:
-    leaf = facts.resolve_duplicates(gathering.stored_extracts(spark, folder), [code for code, _ in FLOWS])
-    return hierarchy.roll_up(leaf, agency_department(spark, folder))
+    numbered, sources = facts.number_sources(gathering.stored_extracts(spark, folder))
+    leaf = facts.resolve_numbered(numbered, [code for code, _ in FLOWS])
+    return facts.name_sources(hierarchy.roll_up_numbered(leaf, agency_department(spark, folder)), sources)
 
 
 def _rows(df: DataFrame) -> DataFrame:
