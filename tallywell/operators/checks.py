@@ -43,6 +43,10 @@ def unknown_measures(values: DataFrame, codes: DataFrame) -> DataFrame:
     return values.select("measure").distinct().join(codes.select(F.col("code").alias("measure")), "measure", "left_anti")
 
 
+def enough_inputs(found: Column, before: Column, share: float = fixed.INPUT_GUARD) -> Column:
+    return F.coalesce(found >= before * share, F.lit(True))
+
+
 def guard_inputs(found: int, before: int | None, share: float = fixed.INPUT_GUARD) -> None:
     """Refuse a build that sees far fewer inputs than the last one."""
     if before and found < before * share:

@@ -11,8 +11,8 @@ from tallywell.plans import catalog as full
 from tallywell.queries import gathering, rostering, standin
 from tallywell.queries.registry import query, rounded, table
 from tallywell.schema import as_values
-from tallywell.session import literal_table
-from tallywell.sources import tables
+from tallywell.session import literal_table, scratch_path
+from tallywell.sources import records, sinks, tables
 
 _VALS = f"WITH {standin.NODE_VALUES_SQL}"
 
@@ -157,3 +157,36 @@ def check_report(spark: SparkSession, folder: str) -> DataFrame:
         "children add up": checks.children_sum(values, standin.nodes(spark, folder)),
         "response share": checks.response_share(values.unionByName(rows)),
     })
+
+
+_EXPECTED_HEADER = ["agency_code", "grade", "snapshot_yyyymm", "count", "tenure_code", "telework_code"]
+
+
+@query("Q1", """SELECT 'missing' AS kind, 'telework_code' AS "column" UNION ALL SELECT 'reordered', unnest(['snapshot_yyyymm', 'agency_code', 'count', 'grade', 'tenure_code'])
+UNION ALL SELECT 'added', unnest(['agency_subelement_code', 'pay_plan_code'])""")
+def header_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """The header of record files as written, against a committed header that differs from it."""
+    kept = ["snapshot_yyyymm", "agency_code", "agency_subelement_code", "count", "grade", "pay_plan_code", "tenure_code"]
+    path = scratch_path(spark, "header")
+    sinks.write_pipe_text(standin.employment(spark, folder).select(*kept), path)
+    drift = checks.header_drift(records.header(spark, path), _EXPECTED_HEADER)
+    return literal_table(spark, "kind string, column string", [(kind, c) for kind, columns in drift.items() for c in columns])
+
+
+@query("Q6 K5", """WITH f AS (SELECT DISTINCT year(l_shipdate) AS y, month(l_shipdate) AS m FROM lineitem)
+SELECT count(*) AS found, cast(ceil(count(*) * 1.5) AS BIGINT) AS before, false AS accepted FROM f""")
+def input_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """A build that sees two thirds of the last build's files is refused."""
+    files = table(spark, folder, "lineitem").select(F.date_format("l_shipdate", "yyyyMM").alias("m")).distinct()
+    counted = files.agg(F.count(F.lit(1)).alias("found")).withColumn("before", F.ceil(F.col("found") * F.lit(1.5)).cast("long"))
+    return counted.withColumn("accepted", checks.enough_inputs(F.col("found"), F.col("before")))
+
+
+@query("K5 K1 A24", f"""WITH {gathering.EMPLOYMENT_FACTS_SQL} SELECT 'employment' AS dataset, count(*) AS rows_out, cast(sum(n) AS BIGINT) AS people FROM facts""")
+def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and people counted while the monthly facts are written, kept as a row of the runs table."""
+    rows, watch = sinks.observed(gathering.employment_facts(spark, folder), F.col("n"))
+    sinks.write_facts(rows, scratch_path(spark, "facts"), "snapshot_yyyymm")
+    runs = scratch_path(spark, "runs")
+    sinks.record_run(spark, runs, "employment", "all", 1, watch)
+    return spark.read.parquet(runs).select("dataset", "rows_out", "people")

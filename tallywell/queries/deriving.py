@@ -243,8 +243,8 @@ f0 AS MATERIALIZED (SELECT measure, node, period_type, period_start, dim, dim_va
 def record_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(base values with zero rows, nodes) from the three record kinds, stored as every level reads them."""
     rows = materialise(trees.rolled(spark, folder), "rolled")
-    base = rows.unionByName(hierarchy.zero_fill(rows, trees.STANDIN_FLOWS))
-    return materialise(base, "base"), trees._kinds(rows)
+    zeros = materialise(hierarchy.zero_fill(rows, trees.STANDIN_FLOWS), "zeros")
+    return rows.unionByName(zeros), materialise(trees._kinds(rows), "nodes")
 
 
 @query("D10 D11 D2 D3 D4 D5 A8 A9", f"""WITH {_REGISTRY_SQL}

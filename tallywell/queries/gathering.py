@@ -99,6 +99,23 @@ def pipe_text_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.when(F.col("work_schedule_code").isNull(), 1)).alias("blank_schedules"))
 
 
+@query("S12 S2 S1 K1", f"""
+WITH {standin.EMPLOYMENT_SQL} SELECT snapshot_yyyymm AS yyyymm, 2 AS version, count(*) AS records, count(*) FILTER (grade = '09') AS grade_nine FROM employment GROUP BY ALL""")
+def current_files_only(spark: SparkSession, folder: str) -> DataFrame:
+    """Two versions of every month, a parquet one superseding a text one; only the newer files are opened."""
+    rows = standin.employment(spark, folder).select("snapshot_yyyymm", "agency_code", "grade", "count")
+    path = scratch_path(spark, "versions")
+
+    def named(version: int) -> DataFrame:
+        return rows.withColumn("file", F.concat(F.lit("employment_"), "snapshot_yyyymm", F.lit(f"_{version}"))).repartition("file")
+
+    sinks.write_pipe_text(named(1).withColumn("grade", F.lit("old")), f"{path}/text", ("file",))
+    sinks.write_parquet(named(2), f"{path}/parquet", ("file",))
+    back = records.read_current(spark, path, "employment", rows.columns)
+    return back.groupBy(F.col("file_yyyymm").alias("yyyymm"), "version").agg(
+        F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("grade") == "09", 1)).alias("grade_nine"))
+
+
 @query("S2 S5", """
 SELECT year(o_orderdate) AS year, count(*) AS orders, count(CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END) AS with_priority,
        round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL""")
