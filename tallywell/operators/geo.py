@@ -9,8 +9,13 @@ from tallywell import fixed_values as fixed
 from tallywell.functions import classify
 
 
+def station_counts(facts: DataFrame, unit: str = "org_code", code: str = "duty_station_code") -> DataFrame:
+    """People per unit and station. Joining these instead of facts keeps the undisclosed station from being a hot key."""
+    return facts.groupBy(unit, code).agg(F.sum("n").alias("n"))
+
+
 def locate(facts: DataFrame, stations: DataFrame, code: str = "duty_station_code") -> DataFrame:
-    """Fact rows with location class, county and state. `stations` is (code, name, cc, fips, st)."""
+    """Counts with location class, county and state. `stations` is (code, name, cc, fips, st)."""
     lookup = stations.select(
         F.col("code").alias(code), F.col("name").alias("_name"), F.col("cc").alias("_cc"),
         F.col("fips").alias("_fips"), F.col("st").alias("_st"), F.lit(True).alias("_known"),

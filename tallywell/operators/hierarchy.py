@@ -15,7 +15,7 @@ from tallywell import fixed_values as fixed
 from tallywell.functions import names
 from tallywell.operators import facts
 from tallywell.schema import KEY_COLUMNS, as_values, notation_name, notation_rank
-from tallywell.session import literal_table
+from tallywell.session import cut_lineage, literal_table
 
 ROOT = "gov"
 TREE_DEPTH = 4
@@ -183,23 +183,26 @@ def historical_nodes(spans: DataFrame, nodes: DataFrame, found_names: DataFrame)
 
 
 def closure(nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
-    """(code, ancestor, distance) for every node and each node above it, itself included."""
-    edges = nodes.select(F.col("code").alias("below"), F.col("parent").alias("above"))
-    step = nodes.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("distance"))
-    out = step
-    for distance in range(1, depth):
-        step = (
-            step.join(edges, step["ancestor"] == edges["below"])
-            .filter(F.col("above").isNotNull())
-            .select("code", F.col("above").alias("ancestor"), F.lit(distance).alias("distance"))
+    """(code, ancestor, distance) for every node and each node above it, itself included.
+
+    Each further level is one join that appends the next parent to a node's row; the row is unfolded at the end.
+    The joined side holds only nodes that have children, far fewer than all.
+    """
+    parents = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("_code")).distinct()
+    inner = nodes.select(F.col("code").alias("_code"), F.col("parent").alias("_next")).join(parents, "_code", "left_semi")
+    chain = nodes.select("code", F.col("parent").alias("_above"), F.array("code", "parent").alias("_line"))
+    for _ in range(2, depth):
+        chain = chain.join(inner, F.col("_above") == F.col("_code"), "left").select(
+            "code", F.col("_next").alias("_above"), F.concat("_line", F.array("_next")).alias("_line")
         )
-        out = out.unionByName(step)
-    return out
+    return chain.select("code", F.posexplode("_line").alias("distance", "ancestor")).filter(
+        F.col("ancestor").isNotNull()
+    ).select("code", "ancestor", "distance")
 
 
 def path_to_root(nodes: DataFrame) -> DataFrame:
     """Path from the root to each node as an array of codes; its length is the depth of the tree."""
-    return closure(nodes).groupBy("code").agg(
+    return closure(cut_lineage(nodes.select("code", "parent"))).groupBy("code").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False), lambda s: s["ancestor"]).alias("path")
     )
 
@@ -210,7 +213,7 @@ def nearest_value(current: DataFrame, nodes: DataFrame, inherited: Sequence[str]
     Each ancestor value fans out to the nodes below it once; the choice is an aggregate, so a root with all
     nodes below it is no hot group.
     """
-    reach = closure(nodes)
+    reach = closure(cut_lineage(nodes.select("code", "parent")))
     offers = current.join(reach, current["node"] == reach["ancestor"]).filter(
         (F.col("distance") == 0) | F.col("measure").isin(*inherited)
     )
@@ -223,8 +226,9 @@ def org_tree(nodes: DataFrame, monthly: DataFrame) -> DataFrame:
     """Node rows with latest headcount, number of children and flags, ready to be ordered under each parent.
 
     `monthly` is headcount per (code, yyyymm) of agencies and sub-elements; departments and the root are summed
-    from agencies.
+    from agencies. Both are stored first, as most steps read them again.
     """
+    nodes, monthly = cut_lineage(nodes), cut_lineage(monthly)
     above = closure(nodes).filter("distance > 0").select("code", "ancestor")
     kinds = nodes.select("code", "kind")
     agency_rows = monthly.join(kinds.filter("kind = 'agency'"), "code", "left_semi")
@@ -271,7 +275,7 @@ def fold_children(tree: DataFrame, keep: int = fixed.CHILDREN_TOP, heads: int =
 
     The largest are found with a limited row number, which Spark trims inside each task; the rest is a sum.
     """
-    below = tree.filter(F.col("parent").isNotNull()).select("parent", "code", "latest")
+    below = cut_lineage(tree.filter(F.col("parent").isNotNull()).select("parent", "code", "latest"))
     order = Window.partitionBy("parent").orderBy(F.desc("latest"), "code")
     shown = (
         below.filter(F.col("latest") >= heads)

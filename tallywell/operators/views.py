@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallywell import fixed_values as fixed
 from tallywell.functions import clean, periods
 from tallywell.schema import flat
-from tallywell.session import literal_table
+from tallywell.session import cut_lineage, literal_table
 
 
 def valued(values: DataFrame) -> DataFrame:
@@ -98,6 +98,8 @@ def movers(
         (F.col("v1") - F.col("v0")).alias("delta"),
         F.try_divide(100.0 * (F.col("v1") - F.col("v0")), F.abs("v0")).alias("pct"),
     )
+    # At most agencies times measures times windows; three steps read it.
+    change = cut_lineage(change)
     enough = change.groupBy("label", "measure").agg(F.count(F.lit(1)).alias("units")).filter(F.col("units") >= fixed.MIN_MOVER_UNITS)
     change = change.join(enough.select("label", "measure"), ["label", "measure"], "left_semi")
     group = Window.partitionBy("label", "measure")
@@ -330,8 +332,12 @@ def flow_series(facts: DataFrame, category: str, targets: Column, extra: tuple[s
     codes = F.array(F.col(category)) if extra is None else F.filter(
         F.array(F.col(category), F.when(extra[1], F.lit(extra[0]))), lambda c: c.isNotNull()
     )
+    # Actions are summed per set of nodes and categories first; the fan-out works on those sums.
+    counts = facts.groupBy(
+        F.filter(targets, lambda t: t.isNotNull()).alias("targets"), "effective_yyyymm", codes.alias("codes")
+    ).agg(F.sum("n").alias("n"))
     return (
-        facts.select(F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("node"), "effective_yyyymm", "n", codes.alias("codes"))
+        counts.select(F.explode("targets").alias("node"), "effective_yyyymm", "n", "codes")
         .select("node", "effective_yyyymm", "n", F.explode("codes").alias("category"))
         .groupBy("node", "effective_yyyymm", "category")
         .agg(F.sum("n").alias("n"))

@@ -185,8 +185,7 @@ def input_guard(spark: SparkSession, folder: str) -> DataFrame:
 @query("K5 K1 A24", f"""WITH {gathering.EMPLOYMENT_FACTS_SQL} SELECT 'employment' AS dataset, count(*) AS rows_out, cast(sum(n) AS BIGINT) AS people FROM facts""")
 def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and people counted while the monthly facts are written, kept as a row of the runs table."""
-    rows, watch = sinks.observed(gathering.employment_facts(spark, folder), F.col("n"))
-    sinks.write_facts(rows, scratch_path(spark, "facts"), "snapshot_yyyymm")
+    watch = sinks.write_facts(gathering.employment_facts(spark, folder), scratch_path(spark, "facts"), "snapshot_yyyymm")
     runs = scratch_path(spark, "runs")
     sinks.record_run(spark, runs, "employment", "all", 1, watch)
     return spark.read.parquet(runs).select("dataset", "rows_out", "people")

@@ -34,7 +34,7 @@ def _stations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _located(spark: SparkSession, folder: str) -> DataFrame:
-    return geo.locate(gathering.employment_facts(spark, folder), _stations(spark, folder))
+    return geo.locate(geo.station_counts(gathering.employment_facts(spark, folder)), _stations(spark, folder))
 
 
 def _distribution(spark: SparkSession, folder: str) -> DataFrame:

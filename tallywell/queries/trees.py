@@ -11,7 +11,7 @@ from tallywell.plans.catalog import flows
 from tallywell.queries import gathering, standin
 from tallywell.queries.registry import query, rounded, table
 from tallywell.schema import as_values
-from tallywell.session import literal_table
+from tallywell.session import literal_table, materialise
 from tallywell.sources import tables
 
 # Agencies are nations, departments regions; sub-elements are the units of the record stand-ins.
@@ -66,7 +66,7 @@ def rolled_up_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("A9 J5 U1", f"WITH {ROLLED_SQL}, {ZERO_SQL} SELECT measure, node, period_start, value FROM zeros")
 def zero_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.zero_fill(rolled(spark, folder), STANDIN_FLOWS).select("measure", "node", "period_start", "value")
+    return hierarchy.zero_fill(materialise(rolled(spark, folder), "rolled"), STANDIN_FLOWS).select("measure", "node", "period_start", "value")
 
 
 _MEMBERS_SQL = """members AS (
@@ -83,7 +83,6 @@ def _groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _kinds(rows: DataFrame) -> DataFrame:
-    kind = F.when(F.length("node") == 2, "agency").when(F.length("node") == 4, "subelement").when(F.col("node") == "gov", "gov").otherwise("department")
     return rows.select(F.col("node").alias("code")).distinct().select("code", F.when(F.col("code") == "gov", "gov").when(
         F.col("code").startswith("D:"), "department").when(F.length("code") == 2, "agency").otherwise("subelement").alias("kind"))
 
@@ -92,7 +91,7 @@ def _kinds(rows: DataFrame) -> DataFrame:
 SELECT g.gid AS node, f.period_start, sum(f.value * g.sign) AS value FROM members g JOIN rolled f ON f.node = g.code
 WHERE f.measure = 'headcount' AND f.dim IS NULL GROUP BY 1, 2""")
 def signed_group_headcount(spark: SparkSession, folder: str) -> DataFrame:
-    rows = rolled(spark, folder)
+    rows = materialise(rolled(spark, folder), "rolled")
     members = tables.group_members(_groups(spark, folder))
     return hierarchy.signed_groups(rows, members, _kinds(rows)).select("node", "period_start", "value")
 
