@@ -460,7 +460,7 @@ def observed_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("S7a M3 U2", """
 WITH t AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'ALL' WHEN c_nationkey = 0 THEN 'XX' ELSE 'N' || cast(c_nationkey AS VARCHAR) END AS agency,
-  year(o_orderdate) AS year, count(*) AS n_resp, round(avg(o_totalprice), 2) AS eei, CASE WHEN count(*) >= 100 THEN cast(max(o_custkey) AS DOUBLE) END AS gsi
+  year(o_orderdate) AS year, count(*) AS n_resp, max(o_totalprice) AS eei, CASE WHEN count(*) >= 100 THEN cast(max(o_custkey) AS DOUBLE) END AS gsi
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
 l AS (SELECT 'fevs_engagement' AS measure, agency, year, n_resp, eei AS value FROM t UNION ALL SELECT 'fevs_global_satisfaction', agency, year, n_resp, gsi FROM t)
 SELECT measure, CASE WHEN agency = 'ALL' THEN 'gov' ELSE agency END AS node, 'survey_year' AS period_type,
@@ -472,7 +472,7 @@ def wide_survey_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))
     wide = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(
         agency.alias("agency"), F.year("o_orderdate").alias("year")
-    ).agg(F.count(F.lit(1)).alias("n_resp"), F.round(F.avg("o_totalprice"), 2).alias("eei"),
+    ).agg(F.count(F.lit(1)).alias("n_resp"), F.max("o_totalprice").alias("eei"),
           F.when(F.count(F.lit(1)) >= 100, F.max("o_custkey").cast("double")).alias("gsi"))
     return tables.wide_survey(wide).select("measure", "node", "period_type", "period_start", "value", "n", "source_ref")
 
