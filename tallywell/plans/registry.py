@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywell.operators import checks, evaluate, facts, hierarchy
-from tallywell.plans.catalog import CATALOG, flows
+from tallywell.plans.catalog import CATALOG, as_table, flows
 from tallywell.schema import VALUE_COLUMNS, as_values
 from tallywell.session import cut_lineage
 from tallywell.sources import sinks
@@ -26,15 +26,24 @@ class Sources:
     others: Sequence[DataFrame] = field(default=())
 
 
-def base_values(sources: Sources, catalog: evaluate.Catalog = CATALOG) -> DataFrame:
-    """Base rows at every level: duplicates resolved, rolled up, zero rows and group headcounts added."""
+def base_values(
+    sources: Sources,
+    catalog: evaluate.Catalog = CATALOG,
+    cut: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> DataFrame:
+    """Base rows at every level: duplicates resolved, rolled up, zero rows and group headcounts added.
+
+    The roll-up is cut once, as all later steps read it several times.
+    """
     flow_specs = flows(catalog)
     numbered, listed = facts.number_sources(sources.extracts)
     leaf = facts.resolve_numbered(numbered, [code for code, _ in flow_specs])
-    rolled = facts.name_sources(hierarchy.roll_up_numbered(leaf, sources.agency_department), listed)
-    out = rolled.unionByName(hierarchy.zero_fill(rolled, flow_specs))
+    rolled = cut(facts.name_sources(hierarchy.roll_up_numbered(leaf, sources.agency_department), listed))
+    out = rolled
+    if flow_specs:
+        out = out.unionByName(cut(hierarchy.zero_fill(rolled, flow_specs)))
     if sources.group_members is not None:
-        out = out.unionByName(hierarchy.signed_groups(rolled, sources.group_members, sources.nodes))
+        out = out.unionByName(cut(hierarchy.signed_groups(rolled, sources.group_members, sources.nodes)))
     for other in sources.others:
         out = out.unionByName(other)
     return out
@@ -45,9 +54,9 @@ def build_values(
     catalog: evaluate.Catalog = CATALOG,
     cut: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
-    """Base and derived rows. The base is cut once, as every level of derived measures reads it."""
-    base = cut(base_values(sources, catalog))
-    known = sources.nodes.sparkSession.createDataFrame([(c,) for c in catalog], "code string")
+    """Base and derived rows; a measure outside the catalog stops the build."""
+    base = base_values(sources, catalog, cut)
+    known = as_table(sources.nodes.sparkSession, catalog)
     checks.require_empty(checks.unknown_measures(base, known), "measures not in the catalog")
     return evaluate.evaluate_all(base, sources.nodes, catalog, cut)
 

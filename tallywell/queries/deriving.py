@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
 from tallywell.functions import clean, periods
-from tallywell.operators import evaluate, hierarchy
+from tallywell.operators import evaluate
 from tallywell.operators.evaluate import Measure, Term
 from tallywell.plans import catalog as full
 from tallywell.plans import registry
@@ -231,7 +233,11 @@ def _closed(catalog: dict[str, Measure], known: set[str]) -> dict[str, Measure]:
     return out
 
 
-RECORD_CATALOG = _closed(full.CATALOG, _RECORD_MEASURES)
+# The given dates lie before the first months of the real flows, so the stand-in opens every flow earlier.
+RECORD_CATALOG = {
+    code: replace(m, since=trees.STANDIN_SINCE) if code in dict(trees.FLOWS) else m
+    for code, m in _closed(full.CATALOG, _RECORD_MEASURES).items()
+}
 _NODE_KINDS_SQL = """nodes AS (SELECT DISTINCT node AS code, CASE WHEN node = 'gov' THEN 'gov' WHEN node LIKE 'D:%' THEN 'department'
   WHEN length(node) = 2 THEN 'agency' ELSE 'subelement' END AS kind FROM rolled)"""
 _RECORD_LEVELS, _RECORD_LAST = levels_sql(RECORD_CATALOG, "f0")
@@ -240,11 +246,24 @@ f0 AS MATERIALIZED (SELECT measure, node, period_type, period_start, dim, dim_va
   FROM (SELECT * FROM rolled UNION ALL SELECT * FROM zeros)), {_RECORD_LEVELS}"""
 
 
-def record_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(base values with zero rows, nodes) from the three record kinds, stored as every level reads them."""
-    rows = materialise(trees.rolled(spark, folder), "rolled")
-    zeros = materialise(hierarchy.zero_fill(rows, trees.STANDIN_FLOWS), "zeros")
-    return rows.unionByName(zeros), materialise(trees._kinds(rows), "nodes")
+def _record_nodes(extracts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Units and agencies that occur, all departments and the government."""
+    units = extracts.filter("dim IS NULL").select("node").distinct().select(
+        F.col("node").alias("code"), F.when(F.length("node") == 2, "agency").otherwise("subelement").alias("kind"))
+    agencies = units.select(F.substring("code", 1, 2).alias("code")).distinct().withColumn("kind", F.lit("agency"))
+    departments = edges.select(F.col("dept").alias("code")).distinct().withColumn("kind", F.lit("department"))
+    return units.unionByName(agencies).unionByName(departments).unionByName(spark_root(extracts.sparkSession))
+
+
+def spark_root(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT 'gov' AS code, 'gov' AS kind")
+
+
+def record_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole build over the three record kinds; stored tables cut the lineage."""
+    extracts, edges = gathering.stored_extracts(spark, folder), trees.agency_department(spark, folder)
+    nodes = materialise(_record_nodes(extracts, edges), "nodes")
+    return registry.build_values(registry.Sources(extracts, nodes, edges), RECORD_CATALOG, cut=lambda df: materialise(df, "build"))
 
 
 @query("D10 D11 D2 D3 D4 D5 A8 A9", f"""WITH {_REGISTRY_SQL}
@@ -252,8 +271,7 @@ SELECT measure, period_type, count(*) AS rows_out, count(value) AS with_value, c
   cast(sum(n) AS BIGINT) AS n, count(notation) AS noted FROM {_RECORD_LAST} WHERE source_ref = 'derived' GROUP BY 1, 2""")
 def registry_summary(spark: SparkSession, folder: str) -> DataFrame:
     """From records to all workforce measures, derived by level, summed per measure."""
-    base, nodes = record_values(spark, folder)
-    values = evaluate.evaluate_all(base, nodes, RECORD_CATALOG, cut=lambda df: materialise(df, "level"))
+    values = record_values(spark, folder)
     return rounded(values.filter(F.col("source_ref") == "derived").groupBy("measure", "period_type").agg(
         F.count(F.lit(1)).alias("rows_out"), F.count("value").alias("with_value"), F.countDistinct("node").alias("nodes"),
         F.sum("value").alias("total"), F.sum("n").alias("n"), F.count("notation").alias("noted")), total=4)
@@ -263,9 +281,8 @@ def registry_summary(spark: SparkSession, folder: str) -> DataFrame:
 SELECT measure, node, period_start, round(value, 6) AS value, n, notation FROM {_RECORD_LAST}
 WHERE measure IN ('quit_rate', 'headcount_prior_month', 'net_change', 'first_year_attrition_rate', 'span_of_control')""")
 def workforce_rates(spark: SparkSession, folder: str) -> DataFrame:
-    base, nodes = record_values(spark, folder)
+    values = record_values(spark, folder)
     wanted = ("quit_rate", "headcount_prior_month", "net_change", "first_year_attrition_rate", "span_of_control")
-    values = evaluate.evaluate_all(base, nodes, RECORD_CATALOG, cut=lambda df: materialise(df, "level"))
     return rounded(values.filter(F.col("measure").isin(*wanted)).select("measure", "node", "period_start", "value", "n", "notation"), value=6)
 
 
