@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
-from tallywell.functions import classify, clean, periods
+from tallywell.functions import classify, clean
 from tallywell.operators.slices import with_slice
 from tallywell.schema import as_values
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell.operators import checks, geo
-from tallywell.queries import gathering, standin
+from tallywell.queries import gathering
 from tallywell.queries.registry import query, table
 
 # Duty stations are parts: most are counties, some abroad, some territories, some unusable.

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.functions import clean
 from tallywell.operators import checks, facts, hierarchy
 from tallywell.plans.catalog import flows
 from tallywell.queries import gathering, standin
 from tallywell.queries.registry import query, rounded, table
-from tallywell.schema import as_values
 from tallywell.session import literal_table, materialise
 from tallywell.sources import tables
 

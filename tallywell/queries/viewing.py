@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
-from tallywell.functions import classify, clean, periods
+from tallywell.functions import classify, periods
 from tallywell.operators import facts, views
 from tallywell.plans import registry
-from tallywell.queries import deriving, gathering, standin, trees
+from tallywell.queries import gathering, standin
 from tallywell.queries.registry import query, rounded, table
-from tallywell.schema import as_values
 from tallywell.session import literal_table, materialise, scratch_path
-from tallywell.sources import records, sinks, tables
+from tallywell.sources import sinks, tables
 
 _VALS = f"WITH {standin.NODE_VALUES_SQL}"
 _LATEST = "(SELECT max(period_start) FROM vals WHERE measure = 'headcount')"
