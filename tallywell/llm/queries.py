@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import decontaminate, exact, licenses, multi_index, packing, quotes, substrings, urls, variable_packing
+from tallywell.llm import decontaminate, exact, licenses, multi_index, packing, quotes, substrings, toxicity, urls, variable_packing
 from tallywell.llm.common import table
 from tallywell.session import literal_table
 
@@ -62,6 +62,13 @@ def op5_variable_packing(spark: SparkSession, folder: str) -> DataFrame:
     return variable_packing.pack(table(spark, folder, "documents"))
 
 
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a model that saw the labels of two thirds."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit_model(docs, table(spark, folder, "labels").select("doc_id", "toxic")))
+
+
 @query()
 def op7_quote_linking(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations sent as mails with nested quotes, linked and cleaned again."""

@@ -51,7 +51,8 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[length]
 
 
-def _slice_words(data: bytes, outside: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slice_words(data: bytes, outside: bytes, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Hash, first byte, end of each word; then for each length the hash of the word's first bytes, 0 if it has fewer."""
     inside = np.frombuffer(data.translate(outside), np.int8) == 0
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[0::2], edges[1::2]
@@ -60,33 +61,35 @@ def _slice_words(data: bytes, outside: bytes) -> tuple[np.ndarray, np.ndarray, n
     weighted = np.frombuffer(data, np.uint8).astype(np.uint64)
     weighted *= power[: len(data)]
     np.cumsum(weighted, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
+    def hashed(upto: np.ndarray) -> np.ndarray:
+        return mix((sums[upto] - sums[starts]) * inverse[starts] + (upto - starts).astype(np.uint64))
 
-def word_hashes(texts: list[bytes], outside: bytes = BLANK, places: bool = False):
+    heads = [np.where(starts + n <= ends, hashed(np.minimum(starts + n, ends)), np.uint64(0)) for n in prefixes]
+    return hashed(ends), starts, ends, *heads
+
+
+def word_hashes(texts: list[bytes], outside: bytes = BLANK, places: bool = False, prefixes: tuple[int, ...] = ()):
     """Hashes of the words of all texts in order, and the first word of each text (one more entry: the end).
 
-    With `places`, also each word's first byte and the byte after its last, counted within its own text.
+    With `places`, also each word's first byte and the byte after its last, counted within its own text. With
+    `prefixes`, also for each of these lengths the hash of the word's first bytes, as if they were a word, or 0.
     """
     buffer = b" ".join(texts) + b" "
     offsets = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
-    hashes, firsts, lasts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * len(prefixes))]
     at = 0
     while texts and at < len(buffer):
         end = min(at + SLICE, len(buffer))
         while end < len(buffer) and not outside[buffer[end - 1]]:  # never cut a word
             end += 1
-        found, starts, ends = _slice_words(buffer[at:end], outside)
-        hashes.append(found)
-        firsts.append(starts + at)
-        lasts.append(ends + at)
+        found, starts, ends, *heads = _slice_words(buffer[at:end], outside, prefixes)
+        parts.append((found, starts + at, ends + at, *heads))
         at = end
-    found, starts = np.concatenate(hashes), np.concatenate(firsts)
+    found, starts, ends, *heads = (np.concatenate(column) for column in zip(*parts))
     bounds = np.searchsorted(starts, offsets)
-    if not places:
-        return found, bounds
     base = np.repeat(offsets[:-1], np.diff(bounds))
-    return found, bounds, starts - base, np.concatenate(lasts) - base
+    return found, bounds, *((starts - base, ends - base) if places else ()), *heads
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
