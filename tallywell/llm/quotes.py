@@ -13,7 +13,8 @@ by (conversation, root_position, depth, position) gives the conversation in repl
 Defined results: a null text is an empty message; a message without quotes, or whose quotes are found nowhere, is a root;
 a message is never its own parent and a parent is always earlier; attribution lines directly before a quote that end in
 "wrote:" are dropped with it. Messages that repeat a (conversation, position) are one message for links, and each keeps
-its row. A null conversation or position is linked with nothing. Extra columns are not read.
+its row. A message with a null conversation or position is linked with nothing and counts no quotes. Extra columns are
+not read.
 """
 
 from __future__ import annotations

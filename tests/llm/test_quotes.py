@@ -43,7 +43,8 @@ def brute_force(rows):
         at, depth = p, 0
         while parent[c, at] is not None:
             at, depth = parent[c, at], depth + 1
-        result.append((c, p, parent[c, p], at, depth, *stats[c, p][:2], quotes.unquoted(text or "")))
+        counts = stats[c, p][:2] if c is not None and p is not None else (0, 0)
+        result.append((c, p, parent[c, p], at, depth, *counts, quotes.unquoted(text or "")))
     return sorted(result, key=str)
 
 
