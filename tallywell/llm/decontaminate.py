@@ -12,8 +12,8 @@ weight in it. A passage is skipped, as in WAND, as soon as a bound says that not
        block by block but counted at their list maximum;
     3. what is left is scored item by item.
 
-The bounds are sums over all words of a batch at once, so no Python code runs per passage that is skipped. No bound drops
-a pair at or above the threshold.
+A term counts once per passage. Bounds and scores are sums over all passages of a batch at once, so Python code runs only
+for pairs that are found. No bound drops a pair at or above the threshold.
 
 Passages are windows of two steps that start every step, where a step is a power of two not shorter than the items it
 serves; any item of that class lies whole within some window. Items are handled by class.
@@ -49,6 +49,8 @@ BLOCK = 8
 SHARD = 4 << 20
 K1, B = 1.2, 0.75
 SHINGLE = 5
+#: Sums of passages and blocks, or items, that are held at once.
+CELLS = 1 << 20
 LEAST_STEP = 16
 _ENDS = ".!?\n"
 
@@ -76,9 +78,9 @@ class Lists:
     block: np.ndarray
     block_max: np.ndarray
     n_blocks: int
-    members: list[list[int]]  # items of each block
-    item_terms: list[np.ndarray]
-    item_weights: list[np.ndarray]
+    item_begin: np.ndarray  # of each term's items
+    posted_item: np.ndarray
+    posted_weight: np.ndarray
     items: list[int]  # item_id
     parts: list[tuple]  # of question and answer: words of a shingle, and the distinct shingles
 
@@ -86,18 +88,17 @@ class Lists:
 def _class_lists(step: int, rows: list[tuple[int, np.ndarray, np.ndarray, tuple]]) -> Lists:
     """rows: item_id, sorted distinct terms, their weights, shingles of the parts; ordered by length."""
     terms = np.unique(np.concatenate([t for _, t, _, _ in rows]))
-    spots = [np.searchsorted(terms, t) for _, t, _, _ in rows]
-    best: dict[tuple[int, int], float] = {}
-    for i, (spot, (_, _, weights, _)) in enumerate(zip(spots, rows)):
-        for s, w in zip(spot.tolist(), weights.tolist()):
-            best[s, i // BLOCK] = max(best.get((s, i // BLOCK), 0.0), w)
-    keys = sorted(best)
-    block, maxima = np.array([b for _, b in keys]), np.array([best[k] for k in keys])
-    begin = np.searchsorted(np.array([s for s, _ in keys]), np.arange(len(terms) + 1))
-    n_blocks = (len(rows) - 1) // BLOCK + 1
-    return Lists(step, terms, np.maximum.reduceat(maxima, begin[:-1]), np.diff(begin) > max(1, n_blocks // 4), begin, block, maxima, n_blocks,
-                 [list(range(b * BLOCK, min(len(rows), (b + 1) * BLOCK))) for b in range(n_blocks)],
-                 spots, [w for _, _, w, _ in rows], [i for i, _, _, _ in rows], [p for _, _, _, p in rows])
+    spot = np.concatenate([np.searchsorted(terms, t) for _, t, _, _ in rows])
+    item = np.repeat(np.arange(len(rows)), [len(t) for _, t, _, _ in rows])
+    weight = np.concatenate([w for _, _, w, _ in rows])
+    order = np.lexsort((item, spot))
+    spot, item, weight = spot[order], item[order], weight[order]
+    new = np.flatnonzero(np.concatenate([[True], (spot[1:] != spot[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)]))
+    maxima, of_term = np.maximum.reduceat(weight, new), spot[new]
+    begin, n_blocks = np.searchsorted(of_term, np.arange(len(terms) + 1)), (len(rows) - 1) // BLOCK + 1
+    return Lists(step, terms, np.maximum.reduceat(maxima, begin[:-1]), np.diff(begin) > max(1, n_blocks // 4), begin, item[new] // BLOCK,
+                 maxima, n_blocks, np.searchsorted(spot, np.arange(len(terms) + 1)), item, weight, [i for i, _, _, _ in rows],
+                 [p for _, _, _, p in rows])
 
 
 def _part(text: str) -> tuple[int, np.ndarray]:
@@ -139,36 +140,54 @@ def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
+def _first_in_window(spots: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, term) of all windows over spots[first:last], each term of a window once."""
+    order = np.argsort(spots, kind="stable")
+    before = np.full(len(spots), -1)
+    same = spots[order][1:] == spots[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    at = _ranges(first, last - first)
+    new = before[at] < np.repeat(first, last - first)
+    return np.repeat(np.arange(len(first)), last - first)[new], spots[at[new]]
+
+
+def _summed(window: np.ndarray, term: np.ndarray, begin: np.ndarray, column: np.ndarray, weight: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """For each window and column: the sum of the terms' posted weights."""
+    sizes = begin[term + 1] - begin[term]
+    at = _ranges(begin[term], sizes)
+    return np.bincount(np.repeat(window, sizes) * shape[1] + column[at], weight[at], minlength=shape[0] * shape[1]).reshape(shape)
+
+
 def retrieve(lists: Lists, words: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item number, score, first word, end) of all passages and items with a score of threshold or more."""
+    least = threshold - 1e-9
     spots = np.minimum(np.searchsorted(lists.terms, words), len(lists.terms) - 1)
     known = np.flatnonzero(lists.terms[spots] == words)
     spots = spots[known]
     starts, ends, owners = _windows(bounds, lists.step)
-    first, last = np.searchsorted(known, starts), np.searchsorted(known, ends)
-    sums = np.concatenate([[0.0], np.cumsum(lists.list_max[spots])])
-    slack = 1e-9
-    left = np.flatnonzero(sums[last] - sums[first] >= threshold - slack)
-    if not len(left):
-        return []
-    first, last, starts, ends, owners = first[left], last[left], starts[left], ends[left], owners[left]
-    low = np.concatenate([[0.0], np.cumsum(np.where(lists.common[spots], lists.list_max[spots], 0.0))])
-    bound = np.repeat((low[last] - low[first])[:, None], lists.n_blocks, axis=1).ravel()
-    of_window = np.repeat(np.arange(len(left)), last - first)
-    inside = spots[_ranges(first, last - first)]
-    rare = ~lists.common[inside]
-    of_window, inside = of_window[rare], inside[rare]
-    sizes = lists.begin[inside + 1] - lists.begin[inside]
-    at = _ranges(lists.begin[inside], sizes)
-    bound += np.bincount(np.repeat(of_window, sizes) * lists.n_blocks + lists.block[at], lists.block_max[at], minlength=len(bound))
-    found = []
-    for cell in np.flatnonzero(bound >= threshold - slack).tolist():
-        w, b = divmod(cell, lists.n_blocks)
-        own = np.unique(spots[first[w] : last[w]])
-        for i in lists.members[b]:
-            score = float(lists.item_weights[i][np.isin(lists.item_terms[i], own, assume_unique=True)].sum())
-            if score >= threshold - slack:
-                found.append((int(owners[w]), i, score, int(starts[w]), int(ends[w])))
+    window, term = _first_in_window(spots, np.searchsorted(known, starts), np.searchsorted(known, ends))
+    total = np.bincount(window, lists.list_max[term], minlength=len(starts))
+    found, alive = [], np.flatnonzero(total >= least)
+    room = max(1, CELLS // max(lists.n_blocks, len(lists.items)))
+    for low in range(0, len(alive), room):
+        own = alive[low : low + room]
+        begin, end = np.searchsorted(window, own[0]), np.searchsorted(window, own[-1], "right")
+        number = np.full(own[-1] - own[0] + 1, -1)
+        number[own - own[0]] = np.arange(len(own))
+        here, its = number[window[begin:end] - own[0]], term[begin:end]
+        here, its = here[here >= 0], its[here >= 0]
+        flat = lists.common[its]
+        bound = _summed(here[~flat], its[~flat], lists.begin, lists.block, lists.block_max, (len(own), lists.n_blocks))
+        bound += np.bincount(here[flat], lists.list_max[its[flat]], minlength=len(own))[:, None]
+        near = bound.max(axis=1) >= least
+        if not near.any():
+            continue
+        number = np.cumsum(near) - 1
+        kept = near[here]
+        scores = _summed(number[here[kept]], its[kept], lists.item_begin, lists.posted_item, lists.posted_weight, (int(near.sum()), len(lists.items)))
+        for w, i in zip(*np.nonzero(scores >= least)):
+            at = own[near][w]
+            found.append((int(owners[at]), int(i), float(scores[w, i]), int(starts[at]), int(ends[at])))
     return found
 
 
