@@ -191,7 +191,6 @@ PLACES_TOP = 15
 CHILDREN_TOP = 20
 SMALL_UNIT_HEADS = 1000
 BREAKDOWN_ROWS = 40
-COVER_LIMIT = 30
 INPUT_GUARD = 0.8
 RATE_TOLERANCE, RATE_AGREEMENT = 0.05, 0.95
 SUM_TOLERANCE = 0.5

@@ -64,7 +64,7 @@ def item_key(text: Column | str) -> Column:
 
 
 def _capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
 
 
 def title(name: Column | str) -> Column:
@@ -89,7 +89,7 @@ def person_name(name: Column | str) -> Column:
     name = _col(name)
 
     def after(word: Column, lead: int) -> Column:
-        head, rest = F.substring(word, 1, lead), F.substring(word, lead + 1, 1_000_000)
+        head, rest = F.substring(word, 1, lead), F.substring(word, F.lit(lead + 1), F.length(word))
         return F.concat(_capital(head), _capital(rest))
 
     def one(word: Column, position: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
 from tallywell.functions import names
+from tallywell.session import materialise
 
 GRAM = 3
 
@@ -169,33 +170,30 @@ def seed_groups(curated: DataFrame, agencies: DataFrame, sources: Mapping[str, D
     return rows, left
 
 
-def covering_months(observed: DataFrame, limit: int = fixed.COVER_LIMIT) -> list:
-    """Fewest months, greedily, in which every code of (code, month) is seen; the later month on ties.
+def covering_months(observed: DataFrame) -> list[tuple]:
+    """(month, newly covered codes) of the fewest months, greedily, in which every code is seen; the later month on ties.
 
-    Codes with the same set of months are counted together first. Each round is one small aggregate over those
-    sets that returns one row; chosen months become a filter, so the plan does not grow a join per round.
+    Codes with the same set of months are counted together and stored once, so a round is one small aggregate over
+    those sets that returns one row. There are at most as many rounds as months. A code that is seen in no month at all
+    can't be covered; `uncovered` lists such codes.
     """
-    patterns = (
-        observed.select("code", "month").distinct()
+    patterns = materialise(
+        observed.select("code", "month").where("month IS NOT NULL").distinct()
         .groupBy("code").agg(F.array_sort(F.collect_list("month")).alias("months"))
-        .groupBy("months").agg(F.count(F.lit(1)).alias("codes"))
-    ).persist()
-    chosen: list = []
-    try:
-        while len(chosen) < limit:
-            open_sets = patterns
-            if chosen:
-                picked = F.array(*[F.lit(m) for m in chosen])
-                open_sets = patterns.filter(~F.arrays_overlap("months", picked))
-            best = (
-                open_sets.select(F.explode("months").alias("month"), "codes")
-                .groupBy("month").agg(F.sum("codes").alias("gain"))
-                .agg(F.max(F.struct("gain", "month")).alias("best"))
-                .first()["best"]
-            )
-            if best is None:
-                break
-            chosen.append(best["month"])
-    finally:
-        patterns.unpersist()
-    return chosen
+        .groupBy("months").agg(F.count(F.lit(1)).alias("codes")), "patterns")
+    chosen: list[tuple] = []
+    while True:
+        picked = F.array(*[F.lit(month) for month, _ in chosen]).cast(patterns.schema["months"].dataType)
+        best = (
+            patterns.filter(~F.arrays_overlap("months", picked)).select(F.explode("months").alias("month"), "codes")
+            .groupBy("month").agg(F.sum("codes").alias("gain"))
+            .agg(F.max(F.struct("gain", "month")).alias("best")).first()["best"]
+        )
+        if best is None:
+            return chosen
+        chosen.append((best["month"], best["gain"]))
+
+
+def uncovered(observed: DataFrame) -> DataFrame:
+    """Codes that no month shows."""
+    return observed.groupBy("code").agg(F.max("month").alias("_last")).filter(F.col("_last").isNull()).select("code")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallywell import fixed_values as fixed
 from tallywell.functions import clean, periods
 from tallywell.schema import KEY_COLUMNS, VALUE_COLUMNS, as_values, notation_name, notation_rank
-from tallywell.session import broadcast_checked, cut_lineage
+from tallywell.session import materialise
 
 
 class EraError(ValueError):
@@ -233,21 +233,22 @@ def number_sources(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a source number in place of the reference, and the list of (source_no, source_ref).
 
     Numbers follow the order of names and, within a name, of versions. They are what duplicates and roll-ups
-    compare: a maximum of numbers stays in a hash aggregate. There are as many sources as files were loaded.
+    compare: a maximum of numbers stays in a hash aggregate. There are as many sources as files were loaded. The list
+    is written, so the optimiser knows its size when it joins it.
     """
     from pyspark.sql import Window
 
     order = Window.orderBy(F.regexp_replace("source_ref", r"_\d+$", ""), source_version("source_ref"), "source_ref")
     listed = values.select(F.coalesce("source_ref", F.lit("")).alias("source_ref")).distinct()
-    sources = cut_lineage(listed.withColumn("source_no", F.row_number().over(order)))
+    sources = materialise(listed.withColumn("source_no", F.row_number().over(order)), "sources")
     numbered = values.withColumn("source_ref", F.coalesce("source_ref", F.lit(""))).join(
-        broadcast_checked(sources), "source_ref"
+        sources, "source_ref"
     ).drop("source_ref")
     return numbered, sources
 
 
 def name_sources(numbered: DataFrame, sources: DataFrame) -> DataFrame:
-    return numbered.join(broadcast_checked(sources), "source_no").select(*VALUE_COLUMNS)
+    return numbered.join(sources, "source_no").select(*VALUE_COLUMNS)
 
 
 def resolve_numbered(values: DataFrame, flow_measures: Sequence[str]) -> DataFrame:

@@ -144,14 +144,21 @@ def quoted_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("S4", """
-SELECT c_mktsegment AS segment, count(*) AS customers FROM customer WHERE c_acctbal >= 0 GROUP BY ALL""")
+SELECT c_mktsegment AS segment, count(*) AS customers, count(CASE WHEN c_custkey % 3 <> 0 THEN c_name END) AS named
+FROM customer WHERE c_acctbal >= 0 GROUP BY ALL
+UNION ALL SELECT NULL, count(*), count(*) FROM customer WHERE c_acctbal < 0 AND c_acctbal >= -300""")
 def tolerant_csv_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines that lack fields are skipped; here customers in debt are written short of two fields."""
+    """Lines that lack fields or have too many are skipped; blank fields, the last one too, are no fault."""
     customer = table(spark, folder, "customer")
-    line = F.when(F.col("c_acctbal") >= 0, F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment")).otherwise(F.col("c_custkey").cast("string"))
+    name = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("")
+    line = (F.when(F.col("c_acctbal") >= 0, F.concat_ws(",", "c_custkey", name, "c_mktsegment"))
+            .when(F.col("c_acctbal") >= -300, F.concat_ws(",", "c_custkey", "c_name", F.lit("")))
+            .when(F.col("c_acctbal") >= -600, F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment", F.lit("more")))
+            .otherwise(F.col("c_custkey").cast("string")))
     path = scratch_path(spark, "broken")
     customer.select(line.alias("line")).write.text(path)
-    return records.read_tolerant_csv(spark, path, ["key", "name", "segment"], header=False).groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
+    rows = records.read_tolerant_csv(spark, path, ["key", "name", "segment"], header=False)
+    return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"), F.count("name").alias("named"))
 
 
 @query("S6 M8", """
@@ -171,21 +178,21 @@ def json_lines_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fact_sql(dataset: str, source: str) -> str:
-    dims = []
-    if dataset != "employment":
-        dims.append("personnel_action_effective_date_yyyymm AS file_yyyymm")
-    for raw, name in {**fixed.DATASET_DIMS[dataset], **fixed.COMMON_DIMS}.items():
-        expr = {
-            "duty_station_code": "CASE WHEN duty_station_code = 'REDACTED' THEN 'NDS' ELSE duty_station_code END",
-            "agency_subelement_code": "CASE WHEN coalesce(agency_subelement_code, '') = '' THEN coalesce(nullif(agency_code, ''), 'UN') || '__' ELSE agency_subelement_code END",
-        }.get(raw, raw)
-        dims.append(f"{expr} AS {name}")
+    """From the rule: clean each record once, then add up people, and pay and service of people, per combination."""
+    names = {**fixed.DATASET_DIMS[dataset], **fixed.COMMON_DIMS}
+    when = ["personnel_action_effective_date_yyyymm AS file_yyyymm"] if dataset != "employment" else []
+    keys = ["file_yyyymm"] * (dataset != "employment") + list(names.values()) + ["pay_band"]
+    cleaned = {
+        "duty_station_code": "coalesce(nullif(duty_station_code, 'REDACTED'), 'NDS')",
+        "agency_subelement_code": "coalesce(nullif(agency_subelement_code, ''), coalesce(nullif(agency_code, ''), 'UN') || '__')",
+    }
+    dims = when + [f"{cleaned.get(raw, raw)} AS {name}" for raw, name in names.items()]
     pay = "annualized_adjusted_basic_pay"
-    dims.append(f"CASE WHEN {pay} = 'REDACTED' THEN 'R' ELSE cast(cast(floor(try_cast({pay} AS DOUBLE) / 10000) * 10 AS INTEGER) AS VARCHAR) END AS pay_band")
-    return f"""SELECT {', '.join(dims)}, cast(sum(cast(count AS INTEGER)) AS BIGINT) AS n,
-      round(sum(try_cast({pay} AS DOUBLE)), 2) AS pay_sum,
-      cast(sum(CASE WHEN {pay} <> 'REDACTED' AND {pay} <> '' THEN cast(count AS INTEGER) ELSE 0 END) AS BIGINT) AS pay_n,
-      round(sum(try_cast(length_of_service_years AS DOUBLE)), 2) AS los_sum FROM {source} GROUP BY ALL"""
+    return f"""SELECT {', '.join(keys)}, cast(sum(heads) AS BIGINT) AS n, round(sum(pay * heads), 2) AS pay_sum,
+      cast(sum(heads * stated::INTEGER) AS BIGINT) AS pay_n, round(sum(served * heads), 2) AS los_sum
+      FROM (SELECT {', '.join(dims)}, {pay} NOT IN ('REDACTED', '') AS stated, count::INTEGER AS heads, try_cast({pay} AS DOUBLE) AS pay,
+        try_cast(length_of_service_years AS DOUBLE) AS served, if({pay} = 'REDACTED', 'R', (10 * floor(try_cast({pay} AS DOUBLE) / 10000)::INTEGER)::VARCHAR) AS pay_band
+        FROM {source}) GROUP BY ALL"""
 
 
 def employment_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -336,18 +343,46 @@ def separation_measures(spark: SparkSession, folder: str) -> DataFrame:
     return _value_rows(facts.extract_actions(standin.separations(spark, folder), "separations", F.lit("fwd:separations_1")))
 
 
-@query("S13 S1 A2", f"WITH {EXTRACTS_SQL} SELECT {_VALUE_ROWS} FROM separation_flat UNION ALL SELECT {_VALUE_ROWS} FROM separation_dims")
+@query("S13 S12 A7 S1 A2 A3", f"""WITH {EXTRACTS_SQL} SELECT {_VALUE_ROWS} FROM raw_facts""")
 def resumable_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Separation files written as text and loaded by the resumable file source."""
-    rows = standin.separations(spark, folder)
-    path, target, state = (scratch_path(spark, label) for label in ("inbox", "extracts", "state"))
-    sinks.write_pipe_text(rows, f"{path}/separations_202401_1")
-    ingest.load_new_files(
-        spark, path, rows.columns, target, state,
-        extract=lambda batch: facts.extract_actions(batch, "separations", F.col("source_ref")))
+    """Files of all three record kinds, two versions of each, through the default loader; a second run adds nothing.
+
+    Version 1 has every record twice, so a version that is not replaced shows. Separations come newest first.
+    """
+    inbox, target = scratch_path(spark, "inbox"), scratch_path(spark, "extracts")
+    kinds = {"employment": standin.employment, "accessions": standin.accessions, "separations": standin.separations}
+    for order in ({"employment": 1, "accessions": 1, "separations": 2}, {"employment": 2, "accessions": 2, "separations": 1}):
+        for kind, rows in kinds.items():
+            now, version = rows(spark, folder), order[kind]
+            sinks.write_pipe_text(now.unionAll(now) if version == 1 else now, f"{inbox}/{kind}_202401_{version}")
+        ingest.load_new_files(spark, inbox, target)
+    ingest.load_new_files(spark, inbox, target)
     return _value_rows(spark.read.parquet(target))
 
 
+@query("S1 S5 Q1 Q2 Q3", f"""WITH {standin.EMPLOYMENT_SQL}, dated AS (SELECT *, CASE WHEN snapshot_yyyymm < '199401' THEN 1 WHEN snapshot_yyyymm < '199701' THEN 2 ELSE 3 END AS era FROM employment),
+flat AS (SELECT {standin.UNIT_SQL} AS node, {MONTH('snapshot_yyyymm')} AS period_start, era, sum({_N}) AS headcount, {_when("veteran_indicator = 'Y'")} AS veterans,
+  {_when("stem_occupation = 'STEM OCCUPATIONS'")} AS stem_employees FROM dated GROUP BY 1, 2, 3)
+SELECT 'headcount' AS measure, node, period_start, cast(headcount AS DOUBLE) AS value FROM flat
+UNION ALL SELECT 'veterans', node, period_start, veterans FROM flat WHERE era > 1
+UNION ALL SELECT 'stem_employees', node, period_start, stem_employees FROM flat WHERE era > 2""")
+def measures_of_eras(spark: SparkSession, folder: str) -> DataFrame:
+    """Text files of three eras, with columns in another order, fewer and more of them. What an era lacks gives no rows."""
+    path = scratch_path(spark, "eras")
+    rows = standin.employment(spark, folder)
+    core = [c for c in rows.columns if c not in ("veteran_indicator", "stem_occupation")]
+    eras = [list(reversed(core)), ["veteran_indicator", *core], [*core, "stem_occupation", "veteran_indicator"]]
+    bounds = ("000000", "199401", "199701", "999999")
+    for columns, low, high in zip(eras, bounds, bounds[1:]):
+        now = rows.filter((F.col("snapshot_yyyymm") >= low) & (F.col("snapshot_yyyymm") < high))
+        named = now.withColumn("file", F.concat(F.lit("employment_"), "snapshot_yyyymm", F.lit("_1"))).select(*columns, "file")
+        sinks.write_pipe_text(named.repartition("file"), f"{path}/{low}", ("file",))
+    frames = records.read_current_eras(spark, path, "employment", rows.columns)
+    values = records.union_by_name([facts.extract_employment(era, F.col("source_ref")) for era in frames])
+    wanted = values.filter(F.col("dim").isNull() & F.col("measure").isin("headcount", "veterans", "stem_employees"))
+    return wanted.groupBy("measure", "node", "period_start").agg(F.sum("value").alias("value"))
+
+
 # --- duplicates, modes, lookups -------------------------------------------------------------------------------------
 
 _VERSIONED = """versioned AS (

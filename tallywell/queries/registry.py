@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.session import spread
-
 
 @dataclass(frozen=True)
 class Query:
@@ -36,9 +34,8 @@ def query(covers: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; its first column is its key."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(rows, rows.columns[0])
+    """A given table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:

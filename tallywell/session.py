@@ -9,9 +9,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A literal table travels inside the plan, so it must stay a specification, never data.
-LITERAL_ROW_LIMIT = 5_000
-
 
 def build_session(app: str = "tallywell", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and skew handling; extra settings win."""
@@ -61,24 +58,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_checked(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Broadcast a relation if counting shows it is small; beyond `rows` rows the optimiser decides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def spread(df: DataFrame, key: str, least: int = 1 << 20, per_core: int = 32 << 20) -> DataFrame:
-    """Deal a mid-sized input out over all cores by a near-unique key.
-
-    A file of a few row groups is read by as many tasks, whatever the number of cores. Tables below `least` bytes
-    are not worth a shuffle, and tables beyond `per_core` bytes a core are split well enough by their own scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if least <= int(str(size)) < per_core * cores:
-        return df.repartition(cores, key)
-    return df
-
-
 def _sql_literal(value) -> str:
     if value is None:
         return "NULL"
@@ -93,10 +72,11 @@ def _sql_literal(value) -> str:
 
 
 def literal_table(spark: SparkSession, schema: str, rows: Iterable[Sequence]) -> DataFrame:
-    """Rows known to the program as a relation whose exact size Catalyst sees, so it broadcasts on its own."""
+    """Rows known to the program as a relation whose exact size Catalyst sees, so it broadcasts on its own.
+
+    A literal table travels inside the plan: it is for specifications. Data belong in a DataFrame.
+    """
     rows = list(rows)
-    if len(rows) > LITERAL_ROW_LIMIT:
-        raise ValueError(f"{len(rows)} literal rows; pass a DataFrame instead")
     fields = [part.strip().split(" ", 1) for part in schema.split(",")]
     names = ", ".join(f"`{name}`" for name, _ in fields)
     casts = ", ".join(f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in fields)
