@@ -16,8 +16,10 @@ No bucket is ever expanded into all of its pairs:
        sizes too different are dropped, and the rest are confirmed on full sets, one partner each first, then those
        pairs that the first round left unconnected;
     3. members of a bucket that are connected by now need no further look. In buckets that still hold several
-       components, members outside the largest one are compared with all members of other components, so a link
-       between any two different texts is found although most pairs are never formed.
+       components, members with a partner of another component within the signature limit are kept; members that such
+       buckets hold together form a cluster. All texts of a cluster are compared with those outside its largest
+       component, a block of BLOCK texts at a time and all of them at once, and one link is given per text and
+       component. So a link between any two different texts is found, but pairs are never rows.
 
 Confirmation sends the first text of a pair once per few hundred partners and streams the partners past it.
 
@@ -47,6 +49,8 @@ LONGS = SYMBOLS // 8
 MISS = 1e-5
 #: Partners that one copy of a text serves.
 PARTNERS = 256
+#: Texts of a cluster that are compared with all others at once.
+BLOCK = 128
 _ODD = np.random.default_rng(77).integers(1, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _WEIGHT = np.random.default_rng(78).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _SIGNATURE = [f"s{i}" for i in range(LONGS)]
@@ -192,14 +196,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     pairs = materialise(
         spokes.join(marked.alias("x"), F.col("a") == F.col("x.id")).join(marked.alias("y"), F.col("b") == F.col("y.id"))
         .where(_near("x", "y", errors, percent)).select("a", "b"), "pairs")
-    wanted = buckets.select("id").distinct()
+    # The list grows with the corpus, so it is never broadcast; the plan is the same at every size.
+    wanted = buckets.select("id").distinct().hint("merge")
     texts = materialise(documents.withColumnRenamed("doc_id", "id").join(wanted, "id").dropDuplicates(["id"]), "texts")
 
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialise(confirmed(first, texts, size, percent), "links")
-    for further in (_unconnected_spokes(pairs, first), _unconnected_members(buckets, marked, errors, percent)):
-        found = further(classes_of_links(links))
-        links = links.unionAll(materialise(confirmed(found, texts, size, percent), "links"))
+    rest = _unconnected_spokes(pairs, first, classes_of_links(links))
+    links = links.unionAll(materialise(confirmed(rest, texts, size, percent), "links"))
+    links = links.unionAll(_links_of_members(buckets, marked, texts, classes_of_links(links), size, errors, percent))
     labels = classes_of_links(links)
 
     named = classes.select("set_name", F.col("id").alias("class_id"))
@@ -217,29 +222,72 @@ def _label(rows: DataFrame, labels: DataFrame, name: str, to: str) -> DataFrame:
             .withColumn(to, F.coalesce(to, name)))
 
 
-def _unconnected_spokes(pairs: DataFrame, first: DataFrame):
-    def find(labels: DataFrame) -> DataFrame:
-        rest = pairs.join(first, ["a", "b"], "left_anti")
-        return materialise(_label(_label(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b"), "pairs")
-
-    return find
-
-
-def _unconnected_members(buckets: DataFrame, marked: DataFrame, errors: int, percent: int):
-    def find(labels: DataFrame) -> DataFrame:
-        members = _label(buckets, labels, "id", "label")
-        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-        mixed = (sizes.groupBy("key").agg(F.max(F.struct("n", F.col("label").alias("most"))).alias("top"), F.count("*").alias("labels"))
-                 .where("labels > 1").select("key", F.col("top.most").alias("most")))
-        # Pairs with the head have been looked at: a bucket of two has no other.
-        open_members = materialise(
-            members.join(mixed, "key").join(marked, "id").select("key", "id", "head", "label", "most", "n_shingles", *_SIGNATURE),
-            "members")
-        few, all_ = open_members.where("label <> most").alias("x"), open_members.alias("y")
-        found = (few.join(all_, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-                          & (F.col("x.id") != F.col("x.head")) & (F.col("y.id") != F.col("y.head")))
-                 .where(_near("x", "y", errors, percent))
-                 .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-        return materialise(found, "pairs")
-
-    return find
+def _unconnected_spokes(pairs: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    return materialise(_label(_label(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b"), "pairs")
+
+
+def _compare_blocks(size: int, percent: int):
+    """Streams rows ordered by (cluster, block, role): first a block's texts, then all texts that they are compared with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, values, owners, sizes, told = None, [], None, None, None, set()
+        for batch in batches:
+            texts = [text.lower() for text in as_bytes(batch.column("text"))]
+            where = list(zip(batch.column("cluster").to_pylist(), batch.column("block").to_pylist()))
+            roles, ids, labels = (batch.column(c).to_pylist() for c in ("role", "id", "label"))
+            left, right = [], []
+            for low, high in chunks(texts):
+                for i, found in zip(range(low, high), shingle_sets(*word_hashes(texts[low:high]), size)):
+                    if where[i] != block:
+                        block, held, values, told = where[i], [], None, set()
+                    if roles[i] == 0:
+                        held.append((ids[i], labels[i], found))
+                        continue
+                    if values is None:
+                        values = np.concatenate([s for _, _, s in held])
+                        sizes = np.array([len(s) for _, _, s in held])
+                        order = np.argsort(values, kind="stable")
+                        values, owners = values[order], np.repeat(np.arange(len(held)), sizes)[order]
+                    begin, end = np.searchsorted(values, found), np.searchsorted(values, found, "right")
+                    counts = end - begin
+                    at = np.arange(counts.sum()) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+                    common = np.bincount(owners[at], minlength=len(held))
+                    for k in np.flatnonzero(100 * common >= percent * (sizes + len(found) - common)).tolist():
+                        other, label, _ = held[k]
+                        if label != labels[i] and (other, labels[i]) not in told:
+                            told.add((other, labels[i]))
+                            left.append(other)
+                            right.append(ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _links_of_members(buckets: DataFrame, marked: DataFrame, texts: DataFrame, labels: DataFrame, size: int, errors: int, percent: int) -> DataFrame:
+    """Links between members of a bucket that belong to different components so far."""
+    members = _label(buckets, labels, "id", "label")
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = (sizes.groupBy("key").agg(F.max(F.struct("n", F.col("label").alias("most"))).alias("top"), F.count("*").alias("labels"))
+             .where("labels > 1").select("key", F.col("top.most").alias("most")))
+    open_members = materialise(
+        members.join(mixed, "key").join(marked, "id").select("key", "id", "head", "label", "most", "n_shingles", *_SIGNATURE), "members")
+    # Pairs with the head have been compared: a bucket of two has no other.
+    rest = open_members.where("id <> head")
+    few, all_ = rest.where("label <> most").alias("x"), rest.alias("y")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y", errors, percent)
+    open_rows = materialise(few.join(all_, near, "left_semi").select("key", "id", "label")
+                            .unionAll(all_.join(few, near, "left_semi").select("key", "id", "label")).distinct(), "open")
+    stars = open_rows.join(open_rows.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b")).distinct()
+    cluster = classes_of_links(stars).withColumnRenamed("component_id", "cluster")
+    placed = materialise(open_rows.select("id", "label").distinct().join(cluster, "id"), "placed")
+    tops = (placed.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+            .groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+            .select("cluster", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks")))
+    put = placed.join(tops, "cluster").where("blocks > 0")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    heads = put.where("label <> most").select("cluster", block.alias("block"), F.lit(0).alias("role"), "id", "label")
+    others = put.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "label")
+    rows = (heads.unionAll(others).join(texts, "id").select("cluster", "block", "role", "id", "label", "text")
+            .repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role", "id"))
+    small_batches(rows.sparkSession)
+    return materialise(rows.mapInArrow(_compare_blocks(size, percent), "a long, b long"), "links")
