@@ -35,7 +35,7 @@ SHARD = 1 << 17
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def normalised(text: str = "text") -> Column:
+def normalised(text: str | Column = "text") -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
 
 
@@ -178,8 +178,9 @@ def mark_duplicates(batches: list[DataFrame]) -> DataFrame:
         if number + 1 < len(batches):
             fresh = materialise(own.where("doc_id IS NOT NULL").select(*keys, "doc_id"), "snapshot")
             snapshots.append(Snapshot(fresh, fresh.count() // SHARD + 1))
-    merged = (reduce(DataFrame.unionAll, groups).groupBy("digest", "size")
-              .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")))
+    # Written, so that the join's sides are plain exchanges and the rows of a hot text can be split among tasks.
+    merged = materialise(reduce(DataFrame.unionAll, groups).groupBy("digest", "size")
+                         .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")), "merged")
     return (reduce(DataFrame.unionAll, rows).join(merged, ["digest", "size"])
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
