@@ -118,18 +118,24 @@ def links(parsed: DataFrame) -> DataFrame:
 
 
 def chains(parents: DataFrame) -> DataFrame:
-    """Per (conversation, position, parent): root_position and depth, by doubling the distance to a known ancestor."""
-    state = materialise(parents.where("parent IS NOT NULL")
-                        .select("conversation", "position", F.col("parent").alias("above"), F.lit(1).cast("long").alias("depth")), "chains")
+    """Per (conversation, position, parent): root_position and depth, by doubling the distance to a known ancestor.
+
+    A message that has reached its root takes part in no further round.
+    """
+    active = materialise(parents.where("parent IS NOT NULL")
+                         .select("conversation", "position", F.col("parent").alias("above"), F.lit(1).cast("long").alias("depth")), "chains")
+    done = active.where("false")
     while True:
-        beyond = state.select("conversation", F.col("position").alias("above"), F.col("above").alias("further"), F.col("depth").alias("more"))
+        beyond = done.unionAll(active).select("conversation", F.col("position").alias("above"), F.col("above").alias("further"),
+                                              F.col("depth").alias("more"))
         stepped = materialise(
-            state.join(beyond, ["conversation", "above"], "left")
+            active.join(beyond, ["conversation", "above"], "left")
             .select("conversation", "position", F.coalesce("further", "above").alias("above"),
                     (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")), "chains")
-        state = stepped.drop("moved")
-        if stepped.where("moved").isEmpty():
-            return state.withColumnRenamed("above", "root_position")
+        done = done.unionAll(stepped.where("NOT moved").drop("moved"))
+        active = stepped.where("moved").drop("moved")
+        if active.isEmpty():
+            return done.withColumnRenamed("above", "root_position")
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
