@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, folder of tables) and gives what the next one gets: rows with the columns of `documents`,
 until the last gives packed sequences. Between stages rows are written as Parquet below spark.checkpoint.dir and read
-again, so a lost executor costs no more than the stage that runs. A row without doc_id passes by id-based stages.
+again, so a lost executor costs no more than the stage that runs. A row without doc_id passes by id-based stages. Lists
+of documents to drop grow with the corpus, so they are merged with the rows by sorting at every size, never broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def without_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id. Rows that repeat an id with its text are one document."""
     marks = exact.mark_duplicates(exact.arrivals(docs, 3)).where("NOT kept")
-    dropped = materialise(marks.select(F.col("doc_id").alias("copy_id"), F.col("text_sha256").alias("copy_sha256")), "copies")
+    dropped = materialise(marks.select(F.col("doc_id").alias("copy_id"), F.col("text_sha256").alias("copy_sha256")), "copies").hint("merge")
     same = docs["doc_id"].eqNullSafe(dropped["copy_id"]) & (F.sha2(exact.normalised(docs["text"]), 256) == dropped["copy_sha256"])
     return docs.join(dropped, same, "left_anti")
 
@@ -31,7 +32,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of documents that five-word shingles connect at a similarity of 0.8, the one with the smallest doc_id."""
     marks = multi_index.near_duplicates(docs, size=5, similarity=0.8).where("NOT kept")
-    dropped = materialise(marks.select("doc_id").distinct(), "near_copies")
+    dropped = materialise(marks.select("doc_id").distinct(), "near_copies").hint("merge")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
