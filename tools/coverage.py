@@ -14,14 +14,14 @@ sys.path.insert(0, str(ROOT))
 
 # Inventory row to code; rows that share a function share an entry.
 CODE = {
-    "S1": "sources.records.read_pipe_text", "S2": "sources.records.read_current", "S3": "sources.records.read_quoted_csv",
+    "S1": "sources.records.read_eras, read_pipe_text", "S2": "sources.records.read_current", "S3": "sources.records.read_quoted_csv",
     "S4": "sources.records.read_tolerant_csv", "S5": "sources.records.read_parquet_union, union_by_name", "S6": "sources.records.read_json_lines",
     "S7a": "sources.tables.wide_survey", "S7b": "sources.tables.long_table", "S7c": "sources.tables.long_table", "S7d": "sources.tables.long_table",
     "S8": "sources.tables.group_members, agency_departments", "S9": "operators.money.year_block", "S10": "sources.tables.html_rows",
-    "S11": "sources.records.file_parts, snapshot_of, with_file", "S12": "sources.records.list_files, current_files, read_current",
+    "S11": "sources.records.file_parts, snapshot_of, with_file", "S12": "sources.records.list_files, current_files, read_current_eras",
     "S13": "sources.records.missing_files, streaming.ingest.load_new_files", "S14": "sources.tables.read_node",
     "K1": "sources.sinks.write_parquet, write_facts", "K2": "sources.sinks.sorted_by_node, write_values", "K3": "operators.views.node_documents, sources.sinks.write_node_documents, write_sorted_lines",
-    "K4": "sources.sinks.write_small", "K5": "sources.sinks.observed, record_run; operators.facts.table_stats", "K6": "operators.checks.report, report_counts",
+    "K4": "sources.sinks.write_sorted_lines", "K5": "sources.sinks.observed, record_run; operators.facts.table_stats", "K6": "operators.checks.report, report_counts",
     "P1": "functions.clean.redacted_to_undisclosed", "P2": "functions.clean.unit_code", "P3": "functions.clean.pay_band", "P4": "functions.clean.age_floor",
     "P5": "functions.clean.disclosed_pay, service_years", "P6": "functions.clean.multiplicity", "P7": "functions.clean.dim_value", "P8": "functions.clean.prefix_key",
     "P9": "functions.periods.is_month_code", "P10": "functions.classify.object_class", "P11": "functions.periods.month_start, month_code",
@@ -57,7 +57,7 @@ CODE = {
     "W11": "operators.views.flows_wide",
     "T1": "sources.sinks.write_facts (sorted inside partitions)", "T2": "operators.views.breakdown", "T3": "operators.views.sort_nulls_last", "T4": "operators.hierarchy.ordered_children, children_arrays",
     "T5": "operators.views.largest", "T6": "operators.hierarchy.fold_children", "T7": "operators.money.overview",
-    "U1": "unionByName throughout", "U2": "plans.registry.Sources.others, base_values", "U4": "operators.money.rolling_four_quarters", "U5": "operators.crosswalk.covering_months",
+    "U1": "unionByName throughout", "U2": "plans.registry.Sources.others, base_values", "U4": "operators.money.rolling_four_quarters", "U5": "operators.crosswalk.covering_months, uncovered",
     "M1": "operators.views.pack", "M2": "operators.views.unpack", "M3": "operators.facts.wide_to_long", "M4": "operators.views.flows_wide", "M5": "literal_table, explode", "M6": "operators.evaluate.carry_forward",
     "M7": "operators.views.node_documents, operators.geo.node_maps", "M8": "sources.sinks.document_lines", "M9": "operators.hierarchy.children_arrays",
     "Q1": "operators.checks.header_drift, require_header", "Q2": "operators.facts.require", "Q3": "operators.facts.available", "Q5": "operators.checks.unknown_measures", "Q6": "operators.checks.enough_inputs, guard_inputs",
