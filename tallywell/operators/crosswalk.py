@@ -23,12 +23,15 @@ def contained_pairs(needles: DataFrame, haystacks: DataFrame, group: str) -> Dat
     """(group, needle, haystack) for every non-empty needle that is a substring of a haystack of its group.
 
     A needle can only be inside texts that share its rarest character triple, so only those pairs are compared;
-    a group is never multiplied out. Needles shorter than a triple use their whole text.
+    a group is never multiplied out. Needles shorter than a triple use their whole text, and pieces of their length
+    are indexed only where there are such needles.
     """
     needle, hay = F.col("needle"), F.col("haystack")
     needles = needles.select(group, "needle").filter(F.length("needle") > 0).distinct()
     haystacks = haystacks.select(group, "haystack").filter(F.length("haystack") > 0).distinct()
-    parts = F.array_distinct(F.concat(*[_grams(hay, size) for size in range(1, GRAM + 1)]))
+    lengths = needles.filter(F.length("needle") < GRAM).select(F.collect_set(F.length("needle"))).scalar()
+    short = [F.when(F.array_contains(lengths, size), _grams(hay, size)).otherwise(F.array().cast("array<string>")) for size in range(1, GRAM)]
+    parts = F.array_distinct(F.concat(*short, _grams(hay, GRAM)))
     index = haystacks.select(group, "haystack", F.explode(parts).alias("gram"))
     frequency = index.groupBy(group, "gram").agg(F.count(F.lit(1)).alias("texts"))
     keys = F.when(F.length(needle) >= GRAM, F.array_distinct(_grams(needle, GRAM))).otherwise(F.array(needle))
@@ -57,13 +60,13 @@ def match_units(targets: DataFrame, units: DataFrame, fallback: bool = True) ->
     around = contained_pairs(wanted.withColumnRenamed("target", "needle"), unit_names.withColumnRenamed("name", "haystack"), "agency").select(
         "agency", F.col("needle").alias("target"), F.col("haystack").alias("name"))
     hits = (
-        inside.unionByName(around).distinct()
+        inside.unionByName(around)
         .join(units.select("agency", "name", "code"), ["agency", "name"])
-        .groupBy("agency", "target")
-        .agg(F.countDistinct("code").alias("hits"), F.min("code").alias("contained"))
-        .filter("hits = 1")
+        # Lowest and highest are equal exactly when one unit fits, and combine before the shuffle.
+        .groupBy("agency", "target").agg(F.min("code").alias("contained"), F.max("code").alias("_last"))
+        .filter("contained = _last")
     )
-    placed = wanted.join(exact, ["agency", "target"], "left").join(hits.drop("hits"), ["agency", "target"], "left")
+    placed = wanted.join(exact, ["agency", "target"], "left").join(hits.drop("_last"), ["agency", "target"], "left")
     last = F.col("agency") if fallback else F.lit(None).cast("string")
     return placed.select(
         "agency", "target",
