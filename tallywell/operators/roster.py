@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
 from tallywell.functions import classify, clean
-from tallywell.operators.slices import with_slice
+from tallywell.operators.slices import with_range
 from tallywell.schema import as_values
 
 POSITION_COLUMNS = [
@@ -130,14 +130,14 @@ def directory(positions: DataFrame, crosswalk: DataFrame) -> DataFrame:
     ).orderBy("last_name", "first_name", "individual_id", "title")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], lead: str, order: Sequence[Column | str], name: str = "seq") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "seq") -> DataFrame:
     """Row numbers per key without sorting a whole key in one task.
 
-    `lead` is the first column of the order. Its quantile slices cut a crowded key into many small sorts; rows are
-    numbered inside (key, slice) and shifted by the number of rows in the key's earlier slices.
+    Ranges over key and order cut a crowded key into many small sorts, also where most of its rows share one date;
+    rows are numbered inside (key, range) and shifted by the number of rows in the key's earlier ranges.
     """
     keys = list(keys)
-    blocked = with_slice(df, lead, "_slice")
+    blocked = with_range(df, [*keys, *order], "_slice")
     sizes = blocked.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     # At most one row per key and slice.
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +146,8 @@ def numbered(df: DataFrame, keys: Sequence[str], lead: str, order: Sequence[Colu
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_size").over(Window.partitionBy(*keys)).alias("_rows"),
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    # Rows that are equal in the order are told apart as the ranges did.
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order, F.xxhash64(*df.columns))
     return (
         blocked.withColumn("_local", F.row_number().over(inside))
         .join(offsets, [*keys, "_slice"])
@@ -160,7 +161,7 @@ def timelines(positions: DataFrame) -> DataFrame:
     """Every position of people who held more than one, numbered by begin date; unknown dates come first."""
     known = positions.filter(F.col("individual_id").isNotNull())
     order = [F.col("begin_date").asc_nulls_first(), "title", "agency_name", "org_name", "status"]
-    return numbered(known, ["individual_id"], "begin_date", order).filter(F.col("seq_of") > 1).select(
+    return numbered(known, ["individual_id"], order).filter(F.col("seq_of") > 1).select(
         "individual_id", clean.full_name("first_name", "last_name").alias("name"), "seq", "title", "agency_name",
         "org_name", "status", "appointment_type", "begin_date", "vacate_date", "level_grade_pay",
     )
@@ -169,3 +170,10 @@ def timelines(positions: DataFrame) -> DataFrame:
 def leaked_columns(df: DataFrame) -> list[str]:
     """Workforce attributes that have no place in a roster output."""
     return sorted(set(fixed.WORKFORCE_ONLY_COLUMNS) & set(df.columns))
+
+
+def leaks(documents: DataFrame) -> DataFrame:
+    """Per output: documents, and those that name a workforce attribute. `documents` is (output, document) of JSON texts."""
+    named = F.arrays_overlap(F.json_object_keys("document"), F.array(*[F.lit(c) for c in fixed.WORKFORCE_ONLY_COLUMNS]))
+    return documents.groupBy("output").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.when(named, 1).otherwise(0)).alias("leaking"))

@@ -1,10 +1,14 @@
-"""Order-preserving slices of a column, for numbering and ranking without one long sort."""
+"""Order-preserving slices, for numbering and ranking without one long sort."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywell.session import materialise
+
 SIDE = 16  # slices are SIDE * SIDE
 
 
@@ -16,6 +20,17 @@ def _number(value: Column, kind: str) -> Column:
     return value
 
 
+def with_range(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Add the number of the range that a row falls into when all rows are cut into ranges of similar size.
+
+    The cuts look at the whole order and at a hash of the row after it, so rows that are equal in the first columns, or
+    in the whole order, are cut as well; only rows that are the same in every column stay together. Rows are written
+    with their number, as a second run of the same sampling might cut elsewhere.
+    """
+    ranged = df.repartitionByRange(*order, F.xxhash64(*df.columns))
+    return materialise(ranged.withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def with_slice(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add the slice of a numeric, date or time column; nulls fall into slice 0.
 

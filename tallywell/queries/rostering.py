@@ -40,8 +40,8 @@ def _positions(spark: SparkSession, folder: str) -> DataFrame:
 
 def _crosswalk(spark: SparkSession, folder: str) -> DataFrame:
     pairs = _sightings(spark, folder).select("agency_name", "org_name").distinct().filter("org_name <> 'ORG 7'")
-    agency = F.concat(F.lit("A"), F.substring("agency_name", 8, 9))
-    return pairs.select("agency_name", "org_name", F.concat(agency, F.substring("org_name", 5, 9)).alias("node"), agency.alias("agency"))
+    agency = F.concat(F.lit("A"), F.element_at(F.split("agency_name", " "), -1))
+    return pairs.select("agency_name", "org_name", F.concat(agency, F.element_at(F.split("org_name", " "), -1)).alias("node"), agency.alias("agency"))
 
 
 @query("A19", f"WITH {_COLLAPSED} SELECT * FROM pos")
@@ -122,9 +122,9 @@ def career_timelines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("A38", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def numbered_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The same numbering over raw events, sliced by time: a user with a third of all events is many small sorts."""
+    """The same numbering over raw events, cut into ranges: a user with a third of all events is many small sorts."""
     rows = table(spark, folder, "events").select("event_id", "user_id", "ts")
-    return roster.numbered(rows, ["user_id"], "ts", ["ts", "event_id"]).select("event_id", "user_id", "seq")
+    return roster.numbered(rows, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "seq")
 
 
 _LABELS = "CASE appointment_type WHEN 'PAS' THEN 'Presidential appointment with Senate confirmation' WHEN 'PA' THEN 'Presidential appointment' WHEN 'SC' THEN 'Schedule C' WHEN 'NA' THEN 'Noncareer SES' WHEN 'CA' THEN 'Career' ELSE appointment_type END"

@@ -26,7 +26,7 @@ JAN, FEB, MAR = date(2025, 1, 1), date(2025, 2, 1), date(2025, 3, 1)
 def test_numbering_a_crowded_key(spark):
     rng = random.Random(7)
     rows = [(("hot" if i % 3 else f"k{i % 50}"), rng.choice([None, *range(200)]), i) for i in range(3000)]
-    got = roster.numbered(spark.createDataFrame(rows, "key string, at int, id int"), ["key"], "at", [F.col("at").asc_nulls_first(), "id"])
+    got = roster.numbered(spark.createDataFrame(rows, "key string, at int, id int"), ["key"], [F.col("at").asc_nulls_first(), "id"])
     expected, held = {}, {}
     for key in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
@@ -37,6 +37,24 @@ def test_numbering_a_crowded_key(spark):
     assert all(r.seq_of == held[r.key] for r in out)
 
 
+def test_one_person_with_one_date_is_cut_as_well(spark):
+    from tallywell.operators.slices import with_range
+
+    rows = spark.range(4000).selectExpr(
+        "CASE WHEN id % 10 = 0 THEN concat('p', id) ELSE 'hot' END AS person", "CASE WHEN id % 7 = 0 THEN date'2024-01-01' END AS begin", "'t' AS title", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = with_range(rows, ["person", F.col("begin").asc_nulls_first(), "title"], "part").groupBy("part").count().collect()
+        out = roster.numbered(rows, ["person"], [F.col("begin").asc_nulls_first(), "title"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(ranges) >= 4 and max(r["count"] for r in ranges) < 1500
+    hot = sorted((r for r in out if r.person == "hot"), key=lambda r: r.seq)
+    assert [r.seq for r in hot] == list(range(1, 3601)) and {r.seq_of for r in hot} == {3600}
+    dated = [r.begin is not None for r in hot]
+    assert dated == sorted(dated)
+
+
 def test_average_rank_with_a_hot_value(spark):
     rng = random.Random(3)
     numbers = [5.0] * 700 + [round(rng.random() * 100, 1) for _ in range(1300)]
@@ -217,6 +235,8 @@ def test_raw_roster_is_cleaned(spark):
     assert (row.agency_name, row.title, row.first_name, row.last_name, row.individual_id) == ("A & B", "Chief", None, "X'y", None)
     assert row.begin_date == date(2025, 1, 20) and row.vacate_date is None
     assert roster.leaked_columns(spark.createDataFrame([(1, 2)], "title int, grade int")) == ["grade"]
+    documents = spark.createDataFrame([("a", '{"title":"x"}'), ("a", '{"title":"x","grade":"15"}'), ("b", "{}")], "output string, document string")
+    assert {tuple(r) for r in roster.leaks(documents).collect()} == {("a", 2, 1), ("b", 1, 0)}
 
 
 def test_resumable_load_takes_each_file_once(spark, tmp_path):
