@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywell import fixed_values as fixed
 from tallywell.functions import clean
 from tallywell.operators import checks
 from tallywell.plans import catalog as full
@@ -130,13 +131,15 @@ def flow_parts_against_total(spark: SparkSession, folder: str) -> DataFrame:
     return checks.flow_parts(gathering.stored_extracts(spark, folder), "separations", ["quits", "retirements", "rifs", "transfers_out", "deferred_resignations"])
 
 
-@query("Q20", f"""SELECT 'directory' AS output, cast(NULL AS VARCHAR) AS leaked UNION ALL SELECT 'joined', 'grade'""")
+@query("Q20", f"""WITH {rostering._COLLAPSED}, named AS (SELECT title FROM pos WHERE status = 'Filled' AND (first_name <> '' OR last_name <> ''))
+SELECT 'directory' AS output, count(*) AS documents, 0 AS leaking FROM named
+UNION ALL SELECT 'joined', count(*), count(*) FILTER (title = 'Director') FROM named""")
 def leaked_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    """Columns of roster outputs that only workforce records may carry; the second output is a deliberate mistake."""
+    """Documents of two roster outputs that name what only workforce records may carry; the second is a deliberate mistake."""
     good = rostering.people_directory(spark, folder)
-    bad = good.withColumn("grade", F.lit("15"))
-    return literal_table(spark, "output string, leaked string", [
-        (name, ",".join(rostering.roster.leaked_columns(df)) or None) for name, df in (("directory", good), ("joined", bad))])
+    bad = good.withColumn("grade", F.when(F.col("title") == "Director", "15"))
+    documents = [df.select(F.lit(name).alias("output"), F.to_json(F.struct(*df.columns)).alias("document")) for name, df in (("directory", good), ("joined", bad))]
+    return rostering.roster.leaks(documents[0].unionByName(documents[1]))
 
 
 @query("Q23 P19", """SELECT page_id FROM pages WHERE regexp_matches(html, '&(#\\d+|[A-Za-z]+);')""")
@@ -159,27 +162,38 @@ def check_report(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
-_EXPECTED_HEADER = ["agency_code", "grade", "snapshot_yyyymm", "count", "tenure_code", "telework_code"]
+_EXPECTED_HEADER = ["snapshot_yyyymm", "agency_code", "count", "grade"]
+_ERA_HEADERS = {"000000": _EXPECTED_HEADER[:3], "199701": [*_EXPECTED_HEADER, "pay_plan_code"], "199901": ["agency_code", "snapshot_yyyymm", "count", "grade"]}
 
 
-@query("Q1", """SELECT 'missing' AS kind, 'telework_code' AS "column" UNION ALL SELECT 'reordered', unnest(['snapshot_yyyymm', 'agency_code', 'count', 'grade', 'tenure_code'])
-UNION ALL SELECT 'added', unnest(['agency_subelement_code', 'pay_plan_code'])""")
+@query("Q1", """WITH months AS (SELECT DISTINCT year(l_shipdate) * 100 + month(l_shipdate) AS m FROM lineitem),
+eras AS (SELECT CASE WHEN m < 199701 THEN 1 WHEN m < 199901 THEN 2 ELSE 3 END AS era, count(*) AS files FROM months GROUP BY 1),
+drift(era, kind, name) AS (VALUES (1, 'missing', 'grade'), (2, 'added', 'pay_plan_code'), (3, 'reordered', 'agency_code'), (3, 'reordered', 'snapshot_yyyymm'),
+  (3, 'reordered', 'count'), (3, 'reordered', 'grade'))
+SELECT kind, name AS "column", files FROM drift JOIN eras USING (era)""")
 def header_drift(spark: SparkSession, folder: str) -> DataFrame:
-    """The header of record files as written, against a committed header that differs from it."""
-    kept = ["snapshot_yyyymm", "agency_code", "agency_subelement_code", "count", "grade", "pay_plan_code", "tenure_code"]
-    path = scratch_path(spark, "header")
-    sinks.write_pipe_text(standin.employment(spark, folder).select(*kept), path)
-    drift = checks.header_drift(records.header(spark, path), _EXPECTED_HEADER)
-    return literal_table(spark, "kind string, column string", [(kind, c) for kind, columns in drift.items() for c in columns])
-
-
-@query("Q6 K5", """WITH f AS (SELECT DISTINCT year(l_shipdate) AS y, month(l_shipdate) AS m FROM lineitem)
-SELECT count(*) AS found, cast(ceil(count(*) * 1.5) AS BIGINT) AS before, false AS accepted FROM f""")
+    """The headers of a file per month, as written in three eras, against the committed header: files per finding."""
+    path, rows = scratch_path(spark, "headers"), standin.employment(spark, folder)
+    lows = [*_ERA_HEADERS, "999999"]
+    for low, high in zip(lows, lows[1:]):
+        now = rows.filter((F.col("snapshot_yyyymm") >= low) & (F.col("snapshot_yyyymm") < high))
+        named = now.withColumn("file", F.concat(F.lit("employment_"), "snapshot_yyyymm", F.lit("_1"))).select(*_ERA_HEADERS[low], "file")
+        sinks.write_pipe_text(named.repartition("file"), f"{path}/{low}", ("file",))
+    found = records.headers(spark, records.current_paths(spark, path, "employment")["txt"])
+    findings = [(kind, c, len(files)) for names, files in found.items()
+                for kind, columns in checks.header_drift(names, _EXPECTED_HEADER).items() for c in columns]
+    return literal_table(spark, "kind string, column string, files long", findings)
+
+
+@query("Q6 K5", f"""WITH b AS (SELECT cast(date_trunc('month', l_shipdate) AS DATE) AS build, count(DISTINCT l_suppkey) AS found FROM lineitem GROUP BY 1)
+SELECT b.build, b.found, p.found AS before, coalesce(b.found >= p.found * cast({fixed.INPUT_GUARD} AS DOUBLE), true) AS accepted
+FROM b LEFT JOIN b p ON p.build + INTERVAL 1 MONTH = b.build""")
 def input_guard(spark: SparkSession, folder: str) -> DataFrame:
-    """A build that sees two thirds of the last build's files is refused."""
-    files = table(spark, folder, "lineitem").select(F.date_format("l_shipdate", "yyyyMM").alias("m")).distinct()
-    counted = files.agg(F.count(F.lit(1)).alias("found")).withColumn("before", F.ceil(F.col("found") * F.lit(1.5)).cast("long"))
-    return counted.withColumn("accepted", checks.enough_inputs(F.col("found"), F.col("before")))
+    """A build a month, with one file per supplier that ships: builds that see far fewer files than the one before are refused."""
+    shipped = table(spark, folder, "lineitem").select(F.trunc("l_shipdate", "month").alias("build"), "l_suppkey")
+    builds = shipped.groupBy("build").agg(F.countDistinct("l_suppkey").alias("found"))
+    last = builds.select(F.add_months("build", 1).alias("build"), F.col("found").alias("before"))
+    return builds.join(last, "build", "left").withColumn("accepted", checks.enough_inputs(F.col("found"), F.col("before")))
 
 
 @query("K5 K1 A24", f"""WITH {gathering.EMPLOYMENT_FACTS_SQL} SELECT 'employment' AS dataset, count(*) AS rows_out, cast(sum(n) AS BIGINT) AS people FROM facts""")

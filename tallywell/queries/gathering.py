@@ -360,7 +360,7 @@ def resumable_load(spark: SparkSession, folder: str) -> DataFrame:
     return _value_rows(spark.read.parquet(target))
 
 
-@query("S1 S5 Q1 Q2 Q3", f"""WITH {standin.EMPLOYMENT_SQL}, dated AS (SELECT *, CASE WHEN snapshot_yyyymm < '199401' THEN 1 WHEN snapshot_yyyymm < '199701' THEN 2 ELSE 3 END AS era FROM employment),
+@query("S1 S5 Q1 Q2 Q3", f"""WITH {standin.EMPLOYMENT_SQL}, dated AS (SELECT *, CASE WHEN snapshot_yyyymm < '199701' THEN 1 WHEN snapshot_yyyymm < '199901' THEN 2 ELSE 3 END AS era FROM employment),
 flat AS (SELECT {standin.UNIT_SQL} AS node, {MONTH('snapshot_yyyymm')} AS period_start, era, sum({_N}) AS headcount, {_when("veteran_indicator = 'Y'")} AS veterans,
   {_when("stem_occupation = 'STEM OCCUPATIONS'")} AS stem_employees FROM dated GROUP BY 1, 2, 3)
 SELECT 'headcount' AS measure, node, period_start, cast(headcount AS DOUBLE) AS value FROM flat
@@ -372,7 +372,7 @@ def measures_of_eras(spark: SparkSession, folder: str) -> DataFrame:
     rows = standin.employment(spark, folder)
     core = [c for c in rows.columns if c not in ("veteran_indicator", "stem_occupation")]
     eras = [list(reversed(core)), ["veteran_indicator", *core], [*core, "stem_occupation", "veteran_indicator"]]
-    bounds = ("000000", "199401", "199701", "999999")
+    bounds = ("000000", "199701", "199901", "999999")
     for columns, low, high in zip(eras, bounds, bounds[1:]):
         now = rows.filter((F.col("snapshot_yyyymm") >= low) & (F.col("snapshot_yyyymm") < high))
         named = now.withColumn("file", F.concat(F.lit("employment_"), "snapshot_yyyymm", F.lit("_1"))).select(*columns, "file")

@@ -9,15 +9,15 @@ from tallywell.operators import checks, geo
 from tallywell.queries import gathering
 from tallywell.queries.registry import query, table
 
-# Duty stations are parts: most are counties, some abroad, some territories, some unusable.
+# Duty stations are parts: most are counties, some abroad, some territories, some unusable. Records know twenty codes more.
 _STATIONS = {
-    "code": "lpad(cast(p_partkey % 1000 as string), 4, '0')",
-    "name": "max(CASE WHEN p_partkey % 1000 % 19 = 7 THEN 'INVALID' ELSE concat('CITY ', cast(p_partkey % 1000 as string)) END)",
-    "cc": "max(CASE WHEN p_partkey % 1000 % 11 = 3 THEN 'GM' ELSE 'US' END)",
-    "fips": "max(CASE WHEN p_partkey % 1000 % 7 = 2 THEN '' ELSE lpad(cast(p_partkey % 1000 % 50 * 1001 as string), 5, '0') END)",
-    "st": "max(CASE WHEN p_partkey % 1000 % 13 = 5 THEN '*' ELSE concat('S', cast(p_partkey % 1000 % 50 as string)) END)",
+    "code": "lpad(cast(p_partkey % 980 as string), 4, '0')",
+    "name": "max(CASE WHEN p_partkey % 980 % 19 = 7 THEN 'INVALID' ELSE concat('CITY ', cast(p_partkey % 980 as string)) END)",
+    "cc": "max(CASE WHEN p_partkey % 980 % 11 = 3 THEN 'GM' ELSE 'US' END)",
+    "fips": "max(CASE WHEN p_partkey % 980 % 7 = 2 THEN '' ELSE lpad(cast(p_partkey % 980 % 50 * 1001 as string), 5, '0') END)",
+    "st": "max(CASE WHEN p_partkey % 980 % 13 = 5 THEN '*' ELSE concat('S', cast(p_partkey % 980 % 50 as string)) END)",
 }
-_STATIONS_SQL = "stations AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _STATIONS.items()) + " FROM part WHERE p_size <= 45 GROUP BY 1)"
+_STATIONS_SQL = "stations AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _STATIONS.items()) + " FROM part GROUP BY 1)"
 _BUCKET = """CASE WHEN f.duty_station_code = 'NDS' THEN 'nds' WHEN s.code IS NULL THEN 'invalid' WHEN s.name = 'Not disclosed' THEN 'nds' WHEN s.cc <> '' AND s.cc <> 'US' THEN 'abroad'
   WHEN regexp_full_match(s.fips, '\\d{5}') AND s.st <> '' AND s.st <> '*' THEN 'county' WHEN s.cc = 'US' AND s.name <> '' AND s.name <> 'INVALID' THEN 'territory' ELSE 'invalid' END"""
 _LOCATED = f"""{gathering.EMPLOYMENT_FACTS_SQL}, {_STATIONS_SQL},
@@ -28,7 +28,7 @@ dist AS (SELECT node, bucket, CASE WHEN bucket = 'county' THEN fips END AS count
 
 
 def _stations(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part").filter("p_size <= 45")
+    part = table(spark, folder, "part")
     parts = [F.expr(e).alias(n) for n, e in _STATIONS.items()]
     return part.groupBy(parts[0]).agg(*parts[1:])
 

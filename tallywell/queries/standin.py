@@ -125,11 +125,13 @@ def month_sql(code: str) -> str:
     return f"cast(substr({code}, 1, 4) || '-' || substr({code}, 5, 2) || '-01' AS DATE)"
 
 
+
 # Monthly measures per nation, region and the whole: orders placed (flow), customers active (stock), revenue.
-NODE_VALUES_SQL = """
+def node_values_sql(late: int = 0) -> str:
+    return f"""
 placed_rows AS (
   SELECT 'N' || lpad(cast(c_nationkey AS VARCHAR), 2, '0') AS nation, 'R' || cast(n_regionkey AS VARCHAR) AS region,
-         cast(date_trunc('month', o_orderdate) AS DATE) AS period_start, o_custkey, o_totalprice
+         cast(date_trunc('month', o_orderdate - INTERVAL {late} DAY) AS DATE) AS period_start, o_custkey, o_totalprice
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 spread AS (
   SELECT nation AS node, period_start, o_custkey, o_totalprice FROM placed_rows
@@ -149,6 +151,9 @@ nodes AS (
 """
 
 
+NODE_VALUES_SQL = node_values_sql()
+
+
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     regions = table(spark, folder, "region").selectExpr(
         "concat('R', r_regionkey) AS code", "'department' AS kind", "r_name AS name", "'gov' AS parent")
@@ -158,8 +163,8 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
     return root.unionByName(regions).unionByName(nations)
 
 
-def node_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Value rows of placed, headcount and revenue.
+def node_values(spark: SparkSession, folder: str, late: int = 0) -> DataFrame:
+    """Value rows of placed, headcount and revenue. Months begin `late` days after the calendar's.
 
     Orders are first reduced to one row per customer and month, so the fan-out to three nodes and the distinct
     count work on that, not on orders.
@@ -170,7 +175,7 @@ def node_values(spark: SparkSession, folder: str) -> DataFrame:
     from tallywell.schema import as_values
 
     orders = table(spark, folder, "orders").groupBy(
-        "o_custkey", F.trunc("o_orderdate", "month").alias("period_start")
+        "o_custkey", F.trunc(F.date_sub("o_orderdate", late), "month").alias("period_start")
     ).agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("spent"))
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")

@@ -24,39 +24,38 @@ def current_values(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(views.current(standin.node_values(spark, folder)).drop("n", "notation"), value=2)
 
 
-_CLOSED = f"{_VALS}, closed AS (SELECT * FROM vals WHERE period_start < (SELECT max(period_start) FROM vals))"
-_LAST_CLOSED = "(SELECT max(period_start) FROM closed WHERE measure = 'headcount')"
+# The orders end on the first of a month. With months that begin on the second, the newest month is a whole one.
+_LATE = 1
+_WHOLE = f"WITH {standin.node_values_sql(_LATE)}"
 
 
-def _closed_months(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored values without the last month, which the data only begins."""
-    values = standin.node_values(spark, folder)
-    return materialise(values.filter(F.col("period_start") < values.select(F.max("period_start")).scalar()), "values")
+def _whole_months(spark: SparkSession, folder: str) -> DataFrame:
+    return materialise(standin.node_values(spark, folder, _LATE), "values")
 
 
 def _movers_sql(order: str) -> str:
     windows = " UNION ALL ".join(
-        f"SELECT '{label}' AS label, (SELECT min(period_start) FROM closed WHERE period_start >= {_LAST_CLOSED} - INTERVAL {months or 1200} MONTH) AS start"
+        f"SELECT '{label}' AS label, (SELECT min(period_start) FROM vals WHERE period_start >= {_LATEST} - INTERVAL {months or 1200} MONTH) AS start"
         for label, months in fixed.MOVER_WINDOWS.items())
-    return f"""{_CLOSED}, windows AS (SELECT * FROM ({windows}) WHERE start < {_LAST_CLOSED}),
+    return f"""{_WHOLE}, windows AS (SELECT * FROM ({windows}) WHERE start < {_LATEST}),
 ch AS (SELECT w.label, a.measure, a.node, a.value AS v0, b.value AS v1, b.value - a.value AS delta,
     CASE WHEN a.value = 0 THEN NULL ELSE 100.0 * (b.value - a.value) / abs(a.value) END AS pct
-  FROM windows w JOIN closed a ON a.period_start = w.start JOIN closed b ON b.period_start = {_LAST_CLOSED} AND b.measure = a.measure AND b.node = a.node
+  FROM windows w JOIN vals a ON a.period_start = w.start JOIN vals b ON b.period_start = {_LATEST} AND b.measure = a.measure AND b.node = a.node
   JOIN nodes g ON g.code = a.node AND g.kind = 'agency'
-  JOIN closed s ON s.measure = 'headcount' AND s.node = a.node AND s.period_start = w.start AND s.value >= 5
+  JOIN vals s ON s.measure = 'headcount' AND s.node = a.node AND s.period_start = w.start AND s.value >= 5
   WHERE a.measure IN ('placed', 'revenue')),
 enough AS (SELECT label, measure FROM ch GROUP BY 1, 2 HAVING count(*) >= 4),
 r AS (SELECT c.*, row_number() OVER (PARTITION BY label, measure ORDER BY {order}, node) AS lo,
   row_number() OVER (PARTITION BY label, measure ORDER BY {order} DESC, node DESC) AS hi FROM ch c JOIN enough USING (label, measure) WHERE {order} IS NOT NULL),
 both_ways AS (SELECT *, 'down' AS direction, lo AS place FROM r WHERE lo <= 12 UNION ALL SELECT *, 'up', hi FROM r WHERE hi <= 12)
-SELECT label, measure, direction, cast(place AS INTEGER) AS place, node, round(v0, 2) AS v0, round(v1, 2) AS v1, round(delta, 2) AS delta FROM both_ways"""
+SELECT label, measure, direction, cast(place AS INTEGER) AS place, node, round(v0, 2) AS v0, round(v1, 2) AS v1, round(delta, 2) AS delta, round_even(pct, 1) AS pct FROM both_ways"""
 
 
 def _movers(spark: SparkSession, folder: str, by: str) -> DataFrame:
     # The stand-in's agencies are small, so its floor is 5 people instead of 250.
-    values = _closed_months(spark, folder)
+    values = _whole_months(spark, folder)
     rows = views.movers(values, standin.nodes(spark, folder), ["placed", "revenue"], floor=5, by=by)
-    return rounded(rows.drop("pct"), v0=2, v1=2, delta=2)
+    return rounded(rows, v0=2, v1=2, delta=2)
 
 
 @query("W9 J8 J4 M5", _movers_sql("delta"))
@@ -69,17 +68,18 @@ def movers_by_percent(spark: SparkSession, folder: str) -> DataFrame:
     return _movers(spark, folder, "pct")
 
 
-@query("W8 K4", f"""{_CLOSED}, s AS (SELECT (SELECT min(period_start) FROM closed WHERE period_start >= {_LAST_CLOSED} - INTERVAL 12 MONTH) AS s12,
-  (SELECT min(period_start) FROM closed WHERE period_start >= {_LAST_CLOSED} - INTERVAL 60 MONTH) AS s60),
-shown AS (SELECT * FROM closed WHERE node IN (SELECT code FROM nodes WHERE kind IN ('gov', 'agency', 'group'))),
+@query("W8 K4", f"""{_WHOLE}, s AS (SELECT (SELECT min(period_start) FROM vals WHERE period_start >= {_LATEST} - INTERVAL 12 MONTH) AS s12,
+  (SELECT min(period_start) FROM vals WHERE period_start >= {_LATEST} - INTERVAL 60 MONTH) AS s60),
+shown AS (SELECT * FROM vals WHERE node IN (SELECT code FROM nodes WHERE kind IN ('gov', 'agency', 'group'))),
 now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node, measure ORDER BY period_start DESC) AS rn FROM shown) WHERE rn = 1)
-SELECT n.node, n.measure, n.period_start, round(n.value, 2) AS value, round(n.value - a.value, 2) AS d12, round(n.value - b.value, 2) AS d60
+SELECT n.node, n.measure, n.period_start, round(n.value, 2) AS value, round(n.value - a.value, 2) AS d12, round(n.value - b.value, 2) AS d60,
+  round_even(100.0 * (n.value - a.value) / nullif(abs(a.value), 0), 2) AS p12, round_even(100.0 * (n.value - b.value) / nullif(abs(b.value), 0), 2) AS p60
 FROM now n LEFT JOIN shown a ON a.node = n.node AND a.measure = n.measure AND a.period_start = (SELECT s12 FROM s)
 LEFT JOIN shown b ON b.node = n.node AND b.measure = n.measure AND b.period_start = (SELECT s60 FROM s)""")
 def change_table(spark: SparkSession, folder: str) -> DataFrame:
-    values = _closed_months(spark, folder)
+    values = _whole_months(spark, folder)
     rows = views.change_table(values, standin.nodes(spark, folder))
-    return rounded(rows.select("node", "measure", "period_start", "value", "d12", "d60"), value=2, d12=2, d60=2)
+    return rounded(rows.select("node", "measure", "period_start", "value", "d12", "d60", "p12", "p60"), value=2, d12=2, d60=2)
 
 
 _SEGMENTS = """seg AS (SELECT cast(c_nationkey AS VARCHAR) AS node, p_brand AS item, cast(date_trunc('month', o_orderdate) AS DATE) AS period_start, sum(l_quantity) AS value
@@ -169,9 +169,9 @@ def share_of_total(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("W6", f"""{_VALS}, b AS (SELECT node, measure, arg_min(value, period_start) AS base FROM vals GROUP BY 1, 2)
 SELECT v.node, v.measure, v.period_start, round(100 * v.value / CASE WHEN coalesce(b.base, 0) = 0 THEN 1 ELSE b.base END, 5) AS "index"
-FROM vals v JOIN b ON b.node = v.node AND b.measure = v.measure WHERE v.measure <> 'revenue'""")
+FROM vals v JOIN b ON b.node = v.node AND b.measure = v.measure""")
 def index_to_first(spark: SparkSession, folder: str) -> DataFrame:
-    rows = standin.node_values(spark, folder).filter(F.col("measure") != "revenue")
+    rows = standin.node_values(spark, folder)
     return rounded(views.index_to_first(rows, ["node", "measure"]).select("node", "measure", "period_start", "index"), index=5)
 
 
@@ -214,9 +214,9 @@ def packed_series(spark: SparkSession, folder: str) -> DataFrame:
         total(F.col("v")).alias("total"), total(weighted).alias("weighted")), total=2, weighted=2)
 
 
-@query("M2 M1", f"""{_VALS} SELECT node, measure, period_type, period_start, value FROM vals WHERE measure <> 'revenue'""")
+@query("M2 M1", f"""{_VALS} SELECT node, measure, period_type, period_start, value FROM vals""")
 def unpacked_series(spark: SparkSession, folder: str) -> DataFrame:
-    values = views.valued(standin.node_values(spark, folder)).filter(F.col("measure") != "revenue")
+    values = views.valued(standin.node_values(spark, folder))
     return views.unpack(views.pack(values), periods.axis(values)).drop("n", "notation")
 
 
