@@ -99,11 +99,11 @@ def money_measures(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows.select("measure", "node", "period_start", "value"), value=2)
 
 
-_BLOCK = """block AS (SELECT '  ' || n_name || '  ' AS label, cast(count(*) FILTER (year(o_orderdate) = 1995) AS DOUBLE) / 100 AS y1,
-  cast(count(*) FILTER (year(o_orderdate) = 1996) AS DOUBLE) / 100 AS y2, cast(count(*) FILTER (year(o_orderdate) = 1997) AS DOUBLE) / 100 AS y3,
-  CASE WHEN n_regionkey = 0 THEN NULL ELSE cast(count(*) FILTER (year(o_orderdate) = 1998) AS DOUBLE) / 100 END AS y4
+_BLOCK = """block AS (SELECT '  ' || n_name || '  ' AS label, cast(count(*) FILTER (year(o_orderdate) = 1998) AS DOUBLE) / 100 AS y1,
+  cast(count(*) FILTER (year(o_orderdate) = 1999) AS DOUBLE) / 100 AS y2, cast(count(*) FILTER (year(o_orderdate) = 2000) AS DOUBLE) / 100 AS y3,
+  CASE WHEN n_regionkey = 0 THEN NULL ELSE cast(count(*) FILTER (year(o_orderdate) = 2001) AS DOUBLE) / 100 END AS y4
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, n_regionkey)"""
-_YEARS = {"y1": (1995, "actual"), "y2": (1996, "actual"), "y3": (1997, "estimate"), "y4": (1998, "estimate")}
+_YEARS = {"y1": (1998, "actual"), "y2": (1999, "actual"), "y3": (2000, "estimate"), "y4": (2001, "estimate")}
 _FTE_SQL = f"""{_BLOCK}, fte AS ({" UNION ALL ".join(
     f"SELECT trim(label) AS label, {fy} AS fy, cast(round({c} * 1000) AS INTEGER) AS fte, '{kind}' AS kind FROM block WHERE y4 IS NOT NULL" for c, (fy, kind) in _YEARS.items())})"""
 
@@ -119,7 +119,7 @@ def _fte(spark: SparkSession, folder: str) -> DataFrame:
     def year(y: int) -> F.Column:
         return F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("double") / 100
 
-    block = joined.groupBy("n_name", "n_regionkey").agg(year(1995).alias("y1"), year(1996).alias("y2"), year(1997).alias("y3"), year(1998).alias("y4"))
+    block = joined.groupBy("n_name", "n_regionkey").agg(year(1998).alias("y1"), year(1999).alias("y2"), year(2000).alias("y3"), year(2001).alias("y4"))
     block = block.select(F.concat(F.lit("  "), "n_name", F.lit("  ")).alias("label"), "y1", "y2", "y3", F.when(F.col("n_regionkey") != 0, F.col("y4")).alias("y4"))
     return money.year_block(block, "label", _YEARS)
 
@@ -141,12 +141,12 @@ def group_full_time_equivalents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # The overview's day is fixed, as a published table has one.
-_TODAY = date(1998, 2, 10)
+_TODAY = date(2001, 8, 10)
 _OFY, _OQ = periods.latest_closed_quarter(_TODAY)
 _OVERVIEW_SQL = f"""WITH {_ROLLING_SQL}, {_FTE_SQL}, {_NAMES_SQL},
 heads AS (SELECT 'r' || cast(n_regionkey AS VARCHAR) AS gid, strftime(o_orderdate, '%Y%m') AS yyyymm, count(*) AS headcount FROM orders JOIN customer ON c_custkey = o_custkey
-  JOIN nation ON n_nationkey = c_nationkey WHERE o_orderdate < DATE '1998-02-01' GROUP BY 1, 2),
-months AS (SELECT max(CASE WHEN yyyymm <= '199712' THEN yyyymm END) AS qend, max(yyyymm) AS newest FROM heads),
+  JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
+months AS (SELECT max(CASE WHEN yyyymm <= '200106' THEN yyyymm END) AS qend, max(yyyymm) AS newest FROM heads),
 m AS (SELECT gid, {", ".join(f"round(sum(CASE WHEN bucket = '{b}' THEN obligations ELSE 0 END), 2) AS {b}" for b in ("personnel", "contracted", "federal_services", "administered", "operations_other", "other"))}
   FROM rolling JOIN group_names USING (agency_name) WHERE fy = {_OFY} AND quarter = {_OQ} GROUP BY 1),
 f AS (SELECT 'r' || cast(n_regionkey AS VARCHAR) AS gid, fy, cast(sum(fte) AS BIGINT) AS fte, max(kind) AS kind FROM fte JOIN nation ON n_name = label WHERE fy IN ({_OFY}, {_OFY - 1}) GROUP BY 1, 2),
@@ -159,14 +159,14 @@ SELECT g.gid, g.name, 'FY{_OFY}Q{_OQ}' AS period, h.headcount, l.headcount AS he
   CASE WHEN g.gid = 'empty' THEN 'no agency mapped' WHEN personnel IS NULL THEN 'no obligations reported' END AS money_reason
 FROM groups g LEFT JOIN m ON m.gid = g.gid LEFT JOIN ff ON ff.gid = g.gid
 LEFT JOIN heads h ON h.gid = g.gid AND h.yyyymm = (SELECT qend FROM months) LEFT JOIN heads l ON l.gid = g.gid AND l.yyyymm = (SELECT newest FROM months)
-LEFT JOIN heads p ON p.gid = g.gid AND p.yyyymm = '199701'"""
+LEFT JOIN heads p ON p.gid = g.gid AND p.yyyymm = '200008'"""
 
 
 @query("A34 P41 T7 J23 P17", _OVERVIEW_SQL)
 def money_overview(spark: SparkSession, folder: str) -> DataFrame:
     """People beside money per group at the last closed quarter, with the reason where there is no money."""
     joined = (
-        table(spark, folder, "orders").filter("o_orderdate < DATE '1998-02-01'")
+        table(spark, folder, "orders")
         .groupBy("o_custkey", F.date_format("o_orderdate", "yyyyMM").alias("yyyymm")).agg(F.count(F.lit(1)).alias("n"))
         .join(table(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
         .join(table(spark, folder, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))

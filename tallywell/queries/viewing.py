@@ -109,17 +109,21 @@ def top_values_and_other(spark: SparkSession, folder: str) -> DataFrame:
     return views.top_and_other(_segments(spark, folder), ["node"], "item", "value", fixed.TREND_TOP, "period_start")
 
 
-@query("A23 A41 A3", f"""WITH {gathering.EMPLOYMENT_FACTS_SQL}, latest AS (SELECT max(snapshot_yyyymm) AS m FROM facts),
-long AS (SELECT org_code AS node, 'grade' AS dim, CASE WHEN coalesce(grade, '') = '' THEN '_blank' ELSE grade END AS dim_value, sum(n) AS value FROM facts, latest WHERE snapshot_yyyymm = m GROUP BY 1, 2, 3
-  UNION ALL SELECT org_code, 'series', CASE WHEN coalesce(series_code, '') = '' THEN '_blank' ELSE series_code END, sum(n) FROM facts, latest WHERE snapshot_yyyymm = m GROUP BY 1, 2, 3
-  UNION ALL SELECT org_code, 'pay_band', CASE WHEN coalesce(pay_band, '') = '' THEN '_blank' ELSE pay_band END, sum(n) FROM facts, latest WHERE snapshot_yyyymm = m GROUP BY 1, 2, 3),
+_NOW_DIMS = {"grade": "grade", "age_bracket": "age_bracket", "supervisory": "supervisory_code", "appointment_type": "appointment_type_code",
+             "pay_band": "pay_band", "work_schedule": "work_schedule_code", "series": "series_code", "step": "step_code"}
+_NOW_SQL = " UNION ALL ".join(
+    f"SELECT org_code AS node, '{dim}' AS dim, CASE WHEN coalesce({c}, '') = '' THEN '_blank' ELSE {c} END AS dim_value, sum(n) AS value FROM facts, latest WHERE snapshot_yyyymm = m GROUP BY 1, 2, 3"
+    for dim, c in _NOW_DIMS.items())
+
+
+@query("A23 A41 A3", f"""WITH {gathering.EMPLOYMENT_FACTS_SQL}, latest AS (SELECT max(snapshot_yyyymm) AS m FROM facts), long AS ({_NOW_SQL}),
 r AS (SELECT *, row_number() OVER (PARTITION BY node, dim ORDER BY value DESC, dim_value) AS rn FROM long)
 SELECT node, dim, CASE WHEN rn <= 14 THEN dim_value ELSE '_other' END AS dim_value, cast(sum(value) AS DOUBLE) AS value FROM r GROUP BY 1, 2, 3""")
 def composition_now(spark: SparkSession, folder: str) -> DataFrame:
     monthly = materialise(gathering.employment_facts(spark, folder), "facts")
     latest = monthly.select(F.max(periods.month_start("snapshot_yyyymm"))).scalar()
     units = monthly.select(F.col("org_code").alias("code")).distinct().withColumn("kind", F.lit("subelement"))
-    rows = registry.latest_composition(monthly, units, latest, "fact").filter(F.col("dim").isin("grade", "series", "pay_band"))
+    rows = registry.latest_composition(monthly, units, latest, "fact")
     return views.top_and_other(rows, ["node", "dim"], "dim_value", "value", fixed.NOW_TOP)
 
 
