@@ -153,13 +153,31 @@ a AS (SELECT period_start, sum(CASE WHEN node = 'gov' THEN value END) AS whole,
 SELECT 'children add up' AS rule, count(*) AS violations FROM a WHERE abs(whole - parts) > 0.5
 UNION ALL SELECT 'response share', count(*) FROM s JOIN h USING (node, year) WHERE n > 0 AND (n / headcount > 1.0 OR n / headcount < 0.02)""")
 def check_report(spark: SparkSession, folder: str) -> DataFrame:
+    return checks.report_counts(_findings(spark, folder))
+
+
+def _findings(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     values = standin.node_values(spark, folder)
     answered = values.filter("measure = 'placed'").groupBy("node", F.trunc("period_start", "year").alias("period_start")).agg(F.sum("value").cast("long").alias("n"))
     rows = as_values(answered, measure="fevs_engagement", period_type="survey_year", source_ref="survey")
-    return checks.report_counts({
+    return {
         "children add up": checks.children_sum(values, standin.nodes(spark, folder)),
         "response share": checks.response_share(values.unionByName(rows)),
-    })
+    }
+
+
+@query("K6 Q11 Q15", f"""{_VALS}, s AS (SELECT node, year(period_start) AS year, cast(sum(value) AS BIGINT) AS n FROM vals WHERE measure = 'placed' GROUP BY 1, 2),
+h AS (SELECT node, year(period_start) AS year, arg_max(value, period_start) AS headcount FROM vals WHERE measure = 'headcount' GROUP BY 1, 2),
+a AS (SELECT period_start, sum(CASE WHEN node = 'gov' THEN value END) AS whole, sum(CASE WHEN node LIKE 'N%' THEN value END) AS parts FROM vals WHERE measure = 'headcount' GROUP BY 1)
+SELECT 'response share' AS rule, node AS subject, cast(year AS INTEGER) AS year, n, headcount FROM s JOIN h USING (node, year) WHERE n > 0 AND (n / headcount > 1.0 OR n / headcount < 0.02)
+UNION ALL SELECT 'children add up', NULL, NULL, NULL, NULL FROM a WHERE abs(whole - parts) > 0.5""")
+def check_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every violation as a row, with figures out of its detail."""
+    def detail(name: str, kind: str) -> F.Column:
+        return F.get_json_object("detail", f"$.{name}").cast(kind).alias(name)
+
+    found = checks.report(_findings(spark, folder))
+    return found.select("rule", "subject", detail("year", "int"), detail("n", "long"), detail("headcount", "double"))
 
 
 _EXPECTED_HEADER = ["snapshot_yyyymm", "agency_code", "count", "grade"]

@@ -60,11 +60,13 @@ def location_summary(spark: SparkSession, folder: str) -> DataFrame:
     return geo.node_summary(_distribution(spark, folder))
 
 
-@query("A28 M7", f"""WITH {_LOCATED}, c AS (SELECT node, county, sum(n) AS n FROM dist WHERE bucket = 'county' GROUP BY 1, 2), s AS (SELECT node, state, sum(n) AS n FROM dist WHERE bucket = 'county' GROUP BY 1, 2)
-SELECT node, (SELECT count(*) FROM c WHERE c.node = d.node) AS counties, (SELECT count(*) FROM s WHERE s.node = d.node) AS states FROM (SELECT DISTINCT node FROM dist WHERE bucket = 'county') d""")
+@query("A28 M7", f"""WITH {_LOCATED} SELECT node, 'counties' AS map, county AS place, cast(sum(n) AS BIGINT) AS n FROM dist WHERE bucket = 'county' GROUP BY 1, 3
+UNION ALL SELECT node, 'states', state, cast(sum(n) AS BIGINT) FROM dist WHERE bucket = 'county' GROUP BY 1, 3""")
 def location_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """The county and state maps of every node, entry by entry."""
     maps = geo.node_maps(_distribution(spark, folder))
-    return maps.select("node", F.size("counties").cast("long").alias("counties"), F.size("states").cast("long").alias("states"))
+    entries = [maps.select("node", F.lit(name).alias("map"), F.explode(name).alias("place", "n")) for name in ("counties", "states")]
+    return entries[0].unionByName(entries[1])
 
 
 @query("Q18", f"""WITH {_LOCATED}, parts AS (SELECT node, sum(n) AS n FROM dist GROUP BY 1),
