@@ -312,17 +312,20 @@ heads AS (SELECT g.gid AS node, f.period_start, sum(f.value * g.sign) AS value F
   WHERE f.measure = 'headcount' AND f.dim IS NULL GROUP BY 1, 2),
 quarters AS (SELECT node, cast(date_trunc('quarter', period_start) AS DATE) AS period_start, arg_max(value, period_start) AS people, count(*) AS months FROM heads GROUP BY 1, 2),
 spent AS (SELECT 'g' || cast(n_regionkey AS VARCHAR) AS node, cast(make_date(fy - 1, 10, 1) + INTERVAL (3 * (quarter - 1)) MONTH AS DATE) AS period_start,
-  sum(CASE WHEN bucket = 'personnel' THEN obligations ELSE 0 END) AS personnel, sum(CASE WHEN bucket = 'contracted' THEN obligations ELSE 0 END) AS contracted
+  round(sum(CASE WHEN bucket = 'personnel' THEN obligations ELSE 0 END), 2) AS personnel, round(sum(CASE WHEN bucket = 'contracted' THEN obligations ELSE 0 END), 2) AS contracted
   FROM rolling JOIN nation ON agency_name = 'AGENCY ' || cast(n_nationkey AS VARCHAR) GROUP BY 1, 2)
-SELECT 'insourcing_ratio' AS measure, node, period_start, round(personnel / nullif(personnel + contracted, 0), 4) AS value,
+SELECT 'insourcing_ratio' AS measure, node, period_start, personnel / nullif(personnel + contracted, 0) AS value,
   CASE WHEN personnel + contracted = 0 THEN 'not_available' END AS notation FROM spent
-UNION ALL SELECT 'personnel_per_head', s.node, s.period_start, round(personnel / nullif(people, 0), 4),
+UNION ALL SELECT 'personnel_per_head', s.node, s.period_start, personnel / nullif(people, 0),
   CASE WHEN coalesce(people, 0) = 0 THEN 'not_available' WHEN months < 3 THEN 'incomplete' END
   FROM spent s LEFT JOIN quarters q ON q.node = s.node AND q.period_start = s.period_start
 UNION ALL SELECT 'omb_fte', 'g' || cast(n_regionkey AS VARCHAR), make_date(fy - 1, 10, 1), cast(sum(fte) AS DOUBLE), CASE WHEN max(kind) = 'estimate' THEN 'estimate' END
   FROM fte JOIN nation ON n_name = label GROUP BY n_regionkey, fy""")
 def money_beside_people(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole build over records, group definitions, obligations and full-time equivalents: what needs all of them."""
+    """The whole build over records, group definitions, obligations and full-time equivalents: what needs all of them.
+
+    Obligations are whole cents, so quotients agree without rounding.
+    """
     extracts, edges = gathering.stored_extracts(spark, folder), trees.agency_department(spark, folder)
     gid = F.concat(F.lit("g"), F.col("n_regionkey").cast("string"))
     nation = table(spark, folder, "nation")
@@ -332,10 +335,10 @@ def money_beside_people(spark: SparkSession, folder: str) -> DataFrame:
     equivalents = money.fte_by_group(spending._fte(spark, folder), nation.select(gid.alias("gid"), F.col("n_name").alias("label")))
     sources = registry.Sources(
         extracts, materialise(_record_nodes(extracts, edges).unionByName(groups), "nodes"), edges, tables.group_members(trees._groups(spark, folder)),
-        [materialise(obligations, "obligations"), materialise(equivalents, "equivalents")])
+        [materialise(rounded(obligations, value=2), "obligations"), materialise(equivalents, "equivalents")])
     values = registry.build_values(sources, BUILD_CATALOG, cut=lambda df: materialise(df, "build"))
     wanted = values.filter(F.col("measure").isin("insourcing_ratio", "personnel_per_head", "omb_fte"))
-    return rounded(wanted.select("measure", "node", "period_start", "value", "notation"), value=4)
+    return wanted.select("measure", "node", "period_start", "value", "notation")
 
 
 # --- period algebra -----------------------------------------------------------------------------------------------
