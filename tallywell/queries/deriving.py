@@ -307,7 +307,7 @@ BUILD_CATALOG = {
 }
 
 
-@query("U2 D6 D10 A18 A22", f"""WITH {trees.ROLLED_SQL}, {trees._MEMBERS_SQL}, {spending._ROLLING_SQL}, {spending._FTE_SQL},
+_BESIDE_SQL = f"""WITH {trees.ROLLED_SQL}, {trees._MEMBERS_SQL}, {spending._ROLLING_SQL}, {spending._FTE_SQL},
 heads AS (SELECT g.gid AS node, f.period_start, sum(f.value * g.sign) AS value FROM members g JOIN rolled f ON f.node = g.code
   WHERE f.measure = 'headcount' AND f.dim IS NULL GROUP BY 1, 2),
 quarters AS (SELECT node, cast(date_trunc('quarter', period_start) AS DATE) AS period_start, arg_max(value, period_start) AS people, count(*) AS months FROM heads GROUP BY 1, 2),
@@ -320,19 +320,17 @@ UNION ALL SELECT 'personnel_per_head', s.node, s.period_start, personnel / nulli
   CASE WHEN coalesce(people, 0) = 0 THEN 'not_available' WHEN months < 3 THEN 'incomplete' END
   FROM spent s LEFT JOIN quarters q ON q.node = s.node AND q.period_start = s.period_start
 UNION ALL SELECT 'omb_fte', 'g' || cast(n_regionkey AS VARCHAR), make_date(fy - 1, 10, 1), cast(sum(fte) AS DOUBLE), CASE WHEN max(kind) = 'estimate' THEN 'estimate' END
-  FROM fte JOIN nation ON n_name = label GROUP BY n_regionkey, fy""")
-def money_beside_people(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole build over records, group definitions, obligations and full-time equivalents: what needs all of them.
+  FROM fte JOIN nation ON n_name = label GROUP BY n_regionkey, fy"""
 
-    Obligations are whole cents, so quotients agree without rounding.
-    """
+
+def _beside_people(spark: SparkSession, folder: str, fte: DataFrame) -> DataFrame:
     extracts, edges = gathering.stored_extracts(spark, folder), trees.agency_department(spark, folder)
     gid = F.concat(F.lit("g"), F.col("n_regionkey").cast("string"))
     nation = table(spark, folder, "nation")
     groups = nation.select(gid.alias("code")).distinct().withColumn("kind", F.lit("group"))
     obligations = money.bucket_measures(
         spending._rolling(spark, folder), nation.select(gid.alias("gid"), F.concat(F.lit("AGENCY "), F.col("n_nationkey").cast("string")).alias("agency_name")))
-    equivalents = money.fte_by_group(spending._fte(spark, folder), nation.select(gid.alias("gid"), F.col("n_name").alias("label")))
+    equivalents = money.fte_by_group(fte, nation.select(gid.alias("gid"), F.col("n_name").alias("label")))
     sources = registry.Sources(
         extracts, materialise(_record_nodes(extracts, edges).unionByName(groups), "nodes"), edges, tables.group_members(trees._groups(spark, folder)),
         [materialise(rounded(obligations, value=2), "obligations"), materialise(equivalents, "equivalents")])
@@ -341,6 +339,21 @@ def money_beside_people(spark: SparkSession, folder: str) -> DataFrame:
     return wanted.select("measure", "node", "period_start", "value", "notation")
 
 
+@query("U2 D6 D10 A18 A22", _BESIDE_SQL)
+def money_beside_people(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole build over records, group definitions, obligations and full-time equivalents: what needs all of them.
+
+    Obligations are whole cents, so quotients agree without rounding.
+    """
+    return _beside_people(spark, folder, spending._fte(spark, folder))
+
+
+@query("U2 D6 D10 A18 A22", _BESIDE_SQL.replace(spending._FTE_SQL, spending._WHOLE_FTE_SQL).replace("FROM fte JOIN", "FROM whole JOIN"))
+def money_beside_people_of_all_years(spark: SparkSession, folder: str) -> DataFrame:
+    """The same build with full-time equivalents of every year of the orders."""
+    return _beside_people(spark, folder, spending._whole_fte(spark, folder))
+
+
 # --- period algebra -----------------------------------------------------------------------------------------------
 
 _DAYS_SQL = "days AS (SELECT DISTINCT cast(o_orderdate AS DATE) AS d FROM orders)"
