@@ -8,10 +8,15 @@ arrive one after the other. For each:
        digests meet the filter of their shard. A filter has no false negatives and about 1 in 256 false positives;
     3. only positives join the snapshot's exact buckets (digest to the document that stays), and for each such pair the
        normalised texts are compared byte by byte;
-    4. digests that are new become the next snapshot, with filters of their own.
+    4. digests that are not confirmed become the next snapshot, with filters of their own.
+
+The confirmed pairs decide: a batch's group belongs to the snapshot that confirmed it, else to its own batch, and only groups
+that belong to the same snapshot are counted together.
 
 A shard holds about SHARD digests whatever the size of the snapshot, so a filter and its peeling stay small.
 
+A group whose rows all lack doc_id is screened and confirmed like any other; its text is found by digest among such rows.
+
 Defined results: a null text counts as empty; empty texts equal each other and texts of blanks only are one space. A row
 without doc_id never stays when another row has the same text; of rows with the smallest doc_id twice, both stay. An
 empty table gives no rows. Other columns are not read.
@@ -25,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell.llm.words import mix
@@ -138,6 +143,17 @@ def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
             .cogroup(filters.groupBy("shard")).applyInPandas(look, "digest binary"))
 
 
+def _plain(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """(digest, size, plain text as `name`) of the wanted (digest, size, doc_id)."""
+    by_id = (wanted.where("doc_id IS NOT NULL").join(docs.select("doc_id", "text"), "doc_id")
+             .select("digest", "size", normalised().alias(name)))
+    # Grouped before the join, so that a hot text is one row per task.
+    nameless = (docs.where("doc_id IS NULL").select(normalised().alias(name)).select(F.unhex(F.sha2(name, 256)).alias("digest"), name)
+                .groupBy("digest").agg(F.min(name).alias(name)))
+    needed = wanted.where("doc_id IS NULL").select("digest", "size")
+    return by_id.unionAll(nameless.join(needed, "digest").select("digest", "size", name))
+
+
 class Snapshot:
     """Digests of texts that stay, one row each (digest, size, doc_id), and their filters; written once."""
 
@@ -146,42 +162,42 @@ class Snapshot:
         self.filters = materialise(build_filters(buckets, shards), "filters")
 
     def holds(self, batch: DataFrame, docs: DataFrame) -> DataFrame:
-        """(digest, size, keep_id) of the batch's distinct texts that the snapshot has, compared byte by byte."""
+        """(digest, size) of the batch's distinct texts that the snapshot has, compared byte by byte."""
         positives = screen(batch, self.filters, self.shards)
         pairs = materialise(
             positives.join(batch, "digest")
             .join(self.buckets.select("digest", "size", F.col("doc_id").alias("keep_id")), ["digest", "size"])
             .select("digest", "size", "doc_id", "keep_id"), "positives")
-        plain = docs.select("doc_id", "text")
-        new = pairs.join(plain, "doc_id").select("digest", "size", "keep_id", normalised().alias("new"))
-        old = (pairs.select(F.col("keep_id").alias("doc_id")).distinct().join(plain, "doc_id")
-               .select(F.col("doc_id").alias("keep_id"), normalised().alias("old")))
-        return new.join(old, "keep_id").where("new = old").select("digest", "size", "keep_id").distinct()
+        new = _plain(docs, pairs.select("digest", "size", "doc_id"), "new")
+        old = _plain(docs, pairs.select("digest", "size", F.col("keep_id").alias("doc_id")), "old")
+        return new.join(old, ["digest", "size"]).where("new = old").select("digest", "size").distinct()
 
 
 def mark_duplicates(batches: list[DataFrame]) -> DataFrame:
     """Per document of all batches, which arrive in this order: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = reduce(DataFrame.unionAll, [b.select("doc_id", "text") for b in batches])
     rows, snapshots, groups = [], [], []
+    keys = ["digest", "size"]
     for number, batch in enumerate(batches):
         named = materialise(digests(batch), f"digests{number}")
-        rows.append(named)
-        own = materialise(named.groupBy("digest", "size").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "groups")
-        held = [snapshot.holds(own.where("doc_id IS NOT NULL"), docs) for snapshot in snapshots]
-        keys = ["digest", "size"]
+        rows.append(named.withColumn("batch", F.lit(number)))
+        own = materialise(named.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "groups")
+        held = [snapshot.holds(own, docs).withColumn("home", F.lit(i)) for i, snapshot in enumerate(snapshots)]
         if held:
-            known = materialise(reduce(DataFrame.unionAll, held).groupBy(*keys).agg(F.min("keep_id").alias("keep_id")), "held")
-            groups.append(own.join(known, keys, "left").select(*keys, F.least("keep_id", "doc_id").alias("keep_id"), "n"))
-            own = own.join(known, keys, "left_anti")
+            known = materialise(reduce(DataFrame.unionAll, held).groupBy(*keys).agg(F.min("home").alias("home")), "held")
+            own = materialise(own.join(known, keys, "left").withColumn("home", F.coalesce("home", F.lit(number))), "homes")
         else:
-            groups.append(own.select(*keys, F.col("doc_id").alias("keep_id"), "n"))
+            own = own.withColumn("home", F.lit(number))
+        groups.append(own.select(*keys, "doc_id", "n", "home", F.lit(number).alias("batch")))
         if number + 1 < len(batches):
-            fresh = materialise(own.where("doc_id IS NOT NULL").select(*keys, "doc_id"), "snapshot")
+            fresh = materialise(own.where(F.col("home") == number).select(*keys, "doc_id"), "snapshot")
             snapshots.append(Snapshot(fresh, fresh.count() // SHARD + 1))
-    # Written, so that the join's sides are plain exchanges and the rows of a hot text can be split among tasks.
-    merged = materialise(reduce(DataFrame.unionAll, groups).groupBy("digest", "size")
-                         .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")), "merged")
-    return (reduce(DataFrame.unionAll, rows).join(merged, ["digest", "size"])
+    # A window holds a row per batch at most. Written, so that the join's sides are plain exchanges and the rows of a hot text
+    # can be split among tasks.
+    same = Window.partitionBy(*keys, "home")
+    decided = materialise(reduce(DataFrame.unionAll, groups).select(
+        *keys, "batch", F.min("doc_id").over(same).alias("keep_id"), F.sum("n").over(same).alias("group_size")), "decided")
+    return (reduce(DataFrame.unionAll, rows).join(decided, [*keys, "batch"])
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
 

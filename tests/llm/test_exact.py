@@ -63,3 +63,23 @@ def test_empty_table(spark):
 def test_all_ids_null(spark):
     found = exact.mark_duplicates(exact.arrivals(rows_to_docs(spark, [(None, "a"), (None, "a")]), 3)).collect()
     assert [(r["keep_id"], r["group_size"], r["kept"]) for r in found] == [(None, 2, True)] * 2
+
+
+def test_screen_that_rules_all_out_leaves_batches_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact, "screen", lambda batch, filters, shards: batch.select("digest").where("false"))
+    rows = [(1, "a"), (2, "a"), (3, "b"), (11, "a"), (12, "b"), (13, "b")]
+    parts = [rows_to_docs(spark, rows[:3]), rows_to_docs(spark, rows[3:])]
+    found = sorted(map(tuple, exact.mark_duplicates(parts).collect()), key=str)
+    assert found == sorted(brute_force(rows[:3]) + brute_force(rows[3:]), key=str) != brute_force(rows)
+
+
+def test_rows_without_ids_in_any_batch(spark):
+    rows = [(None, "a"), (None, "b"), (4, "c"), (None, "a"), (3, "b"), (None, "c"), (2, "a"), (None, "b"), (None, None), (None, "")]
+    parts = [rows_to_docs(spark, rows[:3]), rows_to_docs(spark, rows[3:6]), rows_to_docs(spark, rows[6:])]
+    assert sorted(map(tuple, exact.mark_duplicates(parts).collect()), key=str) == brute_force(rows)
+
+
+def test_one_id_with_different_texts(spark):
+    rows = [(1, "a"), (1, "b"), (5, "a"), (6, "b"), (1, "c"), (7, "c")]
+    parts = [rows_to_docs(spark, rows[:2]), rows_to_docs(spark, rows[2:4]), rows_to_docs(spark, rows[4:])]
+    assert sorted(map(tuple, exact.mark_duplicates(parts).collect()), key=str) == brute_force(rows)
