@@ -35,8 +35,6 @@ from tallywell.llm.words import NOT_ALPHANUMERIC, as_bytes, chunks, owner_of, wo
 from tallywell.session import materialise
 
 FIT_ROWS = 20_000
-#: Rows of the learned lexicon that reach the driver at most, the best first.
-STEMS = 20_000
 EVIDENCE = 2.0
 PREFIXES = tuple(range(3, 13))
 CLAUSE_ENDS = bytes(int(chr(i) in ".!?;:\n") for i in range(256))
@@ -179,7 +177,7 @@ def _prefix_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def learned_stems(fit: DataFrame, toxic: int, other: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and weights of prefixes that speak for toxicity; fit is (text, toxic)."""
+    """Hashes and weights of all prefixes that speak for toxicity; fit is (text, toxic), FIT_ROWS rows at most."""
     counts = (per_batch(fit, _prefix_counts, "prefix long, toxic long, other long").groupBy("prefix")
               .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic >= 3"))
     counts = materialise(counts, "prefixes")
@@ -189,7 +187,7 @@ def learned_stems(fit: DataFrame, toxic: int, other: int) -> tuple[np.ndarray, n
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
     least = EVIDENCE + math.log(max(1, counts.count()))
     rows = (counts.select("prefix", ratio.alias("ratio"), weight.alias("weight")).where((F.col("ratio") >= least) & (F.col("weight") >= 2))
-            .orderBy(F.desc("ratio"), "prefix").limit(STEMS).collect())
+            .select("prefix", "weight").collect())
     return np.array([r["prefix"] for r in rows], np.int64).view(np.uint64), np.array([r["weight"] for r in rows])
 
 

@@ -85,3 +85,12 @@ def test_without_usable_labels(spark, labels):
 def test_empty_table(spark):
     docs = rows_to_docs(spark, [])
     assert t.score(docs, t.fit_model(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).count() == 0
+
+
+def test_all_telling_prefixes_are_learned(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(3_000)]
+    text = " ".join(words)
+    fit = spark.createDataFrame([(text, 1)] * 30 + [("", 0)] * 300, "text string, toxic int")
+    stems, weights = t.learned_stems(fit, 30, 300)
+    assert len(stems) == len(weights) == len({w[:n] for w in words for n in t.PREFIXES}) > 20_000
