@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with production parameters, and their SQL where there is any."""
+"""The operators as queries over the given tables, with production parameters, and their SQL where there is any."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import decontaminate, exact, licenses, multi_index, packing, quotes, substrings, toxicity, urls, variable_packing
+from tallywell.llm import decontaminate, exact, licenses, multi_index, packing, quotes, simhash, substrings, toxicity, urls, variable_packing
 from tallywell.llm.common import table
 from tallywell.session import literal_table
 
@@ -121,3 +121,9 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""")
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words inside 13-word passages that an earlier document has too, removed."""
     return substrings.remove_repeats(table(spark, folder, "documents"), 13).drop("kept_text")
+
+
+@query()
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprints of all documents, and the component of those that chains of four bits or fewer connect."""
+    return simhash.near_duplicates(table(spark, folder, "documents"), size=4, distance=4).drop("kept")
