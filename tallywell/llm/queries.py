@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import decontaminate, exact, licenses, multi_index, packing, quotes, simhash, substrings, toxicity, urls, variable_packing
+from tallywell.llm import decontaminate, exact, licenses, merkle, multi_index, packing, quotes, simhash, substrings, toxicity, urls, variable_packing
 from tallywell.llm.common import table
 from tallywell.session import literal_table
 
@@ -123,6 +123,13 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), 13).drop("kept_text")
 
 
+@query()
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest, proof and root of every document; of half of them the text lost its line breaks since."""
+    docs = table(spark, folder, "documents")
+    return merkle.manifest(docs, merkle.without_line_breaks_in_half(docs))
+
+
 @query()
 def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash fingerprints of all documents, and the component of those that chains of four bits or fewer connect."""
