@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import decontaminate, exact, licenses, merkle, multi_index, packing, quotes, simhash, substrings, toxicity, urls, variable_packing
+from tallywell.llm import decontaminate, exact, licenses, merkle, multi_index, packing, quotes, simhash, spellings, substrings, toxicity, urls, variable_packing
 from tallywell.llm.common import table
 from tallywell.session import literal_table
 
@@ -134,3 +134,9 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash fingerprints of all documents, and the component of those that chains of four bits or fewer connect."""
     return simhash.near_duplicates(table(spark, folder, "documents"), size=4, distance=4).drop("kept")
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, of which some lost a letter, with their most frequent neighbour and where that leads."""
+    return spellings.grouped(table(spark, folder, "documents"), least_length=7, least_count=2, every=31, ratio=10)
