@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import decontaminate, exact, licenses, merkle, multi_index, packing, quotes, simhash, spellings, substrings, toxicity, urls, variable_packing
+from tallywell.llm import decontaminate, exact, licenses, merkle, multi_index, packing, quotes, simhash, spellings, sql, substrings, toxicity, urls, variable_packing
 from tallywell.llm.common import table
 from tallywell.session import literal_table
 
@@ -15,13 +15,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     """Register a function under its name."""
 
     def register(run: Callable[[SparkSession, str], DataFrame]):
         QUERIES[run.__name__] = run
-        if sql:
-            SQL[run.__name__] = sql
+        if oracle:
+            SQL[run.__name__] = oracle
         return run
 
     return register
@@ -123,7 +123,7 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), 13).drop("kept_text")
 
 
-@query()
+@query(sql.merkle())
 def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Digest, proof and root of every document; of half of them the text lost its line breaks since."""
     docs = table(spark, folder, "documents")
@@ -136,7 +136,7 @@ def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), size=4, distance=4).drop("kept")
 
 
-@query()
+@query(sql.spellings())
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents, of which some lost a letter, with their most frequent neighbour and where that leads."""
     return spellings.grouped(table(spark, folder, "documents"), least_length=7, least_count=2, every=31, ratio=10)
