@@ -1,7 +1,8 @@
 """The organisation tree: roll-ups, signed groups, zero-filled flows, paths and tree tables.
 
-Nodes are (code, kind, name, parent); kinds are gov, department, agency, subelement and group. The tree is at
-most four levels deep, so closures are a fixed number of level joins.
+Nodes are (code, kind, name, parent); kinds are gov, department, agency, subelement and group. Trees may have any depth:
+closures double the way they cover in every round until no line goes on. A line that runs into a cycle has no root; such
+codes are reported by `endless` and have nobody above them in a closure.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from tallywell import fixed_values as fixed
 from tallywell.functions import names
 from tallywell.operators import facts
 from tallywell.schema import KEY_COLUMNS, as_values, notation_name, notation_rank
-from tallywell.session import cut_lineage, literal_table
+from tallywell.session import cut_lineage, literal_table, materialise
 
 ROOT = "gov"
-TREE_DEPTH = 4
 
 
 def _totals(df: DataFrame) -> DataFrame:
@@ -182,29 +182,66 @@ def historical_nodes(spans: DataFrame, nodes: DataFrame, found_names: DataFrame)
     )
 
 
-def closure(nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """For k = 0, 1, ... the table (code, above) of what lies 2**k above a code, as long as there is any; and what is left.
+
+    What is left are codes that still have somebody above them after as many steps as there are codes: their lines run into
+    a cycle, and `above` is then on it. The tables are written between rounds, of which there are as many as the depth has
+    binary digits.
+    """
+    held = [materialise(nodes.filter(F.col("parent").isNotNull()).select("code", F.col("parent").alias("above")).distinct(), "jumps")]
+    most = held[0].count()
+    while not held[-1].isEmpty():
+        if 1 << (len(held) - 1) > most:
+            return held, held[-1]
+        further = held[-1].select(F.col("code").alias("above"), F.col("above").alias("_next"))
+        held.append(materialise(held[-1].join(further, "above").select("code", F.col("_next").alias("above")).distinct(), "jumps"))
+    return held[:-1], None
+
+
+def endless(nodes: DataFrame) -> DataFrame:
+    """(code, on_cycle) of codes whose line upwards never ends: those on a cycle, and those below one."""
+    _, left = _jumps(nodes)
+    if left is None:
+        return nodes.select("code", F.lit(True).alias("on_cycle")).limit(0)
+    on_cycle = left.select(F.col("above").alias("code")).distinct().withColumn("on_cycle", F.lit(True))
+    return left.select("code").distinct().join(on_cycle, "code", "left").select("code", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+
+
+def _reach(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The closure, and (code, above) of the codes whose lines never end, if there are any."""
+    nodes = materialise(nodes.select("code", "parent"), "nodes")
+    jumps, left = _jumps(nodes)
+    codes = nodes.select("code").distinct()
+    start = codes.unionByName(nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("code"))).distinct()
+    reach = materialise(start.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("distance")), "reach")
+    for k, jump in enumerate(jumps):
+        if left is not None:
+            jump = jump.join(left.select("code"), "code", "left_anti")
+        known = reach.select(F.col("code").alias("above"), "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
+        reach = materialise(reach.unionByName(jump.join(known, "above").select("code", "ancestor", "distance")), "reach")
+    return reach.join(codes, "code", "left_semi"), left
+
+
+def closure(nodes: DataFrame) -> DataFrame:
     """(code, ancestor, distance) for every node and each node above it, itself included.
 
-    Each further level is one join that appends the next parent to a node's row; the row is unfolded at the end.
-    The joined side holds only nodes that have children, far fewer than all.
+    Round k appends to every code what is known of the code 2**k above it, so the known way doubles. A parent that is no
+    node itself ends a line. A code whose line never ends has only itself.
     """
-    parents = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("_code")).distinct()
-    inner = nodes.select(F.col("code").alias("_code"), F.col("parent").alias("_next")).join(parents, "_code", "left_semi")
-    chain = nodes.select("code", F.col("parent").alias("_above"), F.array("code", "parent").alias("_line"))
-    for _ in range(2, depth):
-        chain = chain.join(inner, F.col("_above") == F.col("_code"), "left").select(
-            "code", F.col("_next").alias("_above"), F.concat("_line", F.array("_next")).alias("_line")
-        )
-    return chain.select("code", F.posexplode("_line").alias("distance", "ancestor")).filter(
-        F.col("ancestor").isNotNull()
-    ).select("code", "ancestor", "distance")
+    return _reach(nodes)[0]
 
 
 def path_to_root(nodes: DataFrame) -> DataFrame:
-    """Path from the root to each node as an array of codes; its length is the depth of the tree."""
-    return closure(cut_lineage(nodes.select("code", "parent"))).groupBy("code").agg(
+    """Path from the root to each node as an array of codes; null for a node whose line never ends."""
+    reach, left = _reach(nodes)
+    paths = reach.groupBy("code").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False), lambda s: s["ancestor"]).alias("path")
     )
+    if left is None:
+        return paths
+    without = left.select("code", F.lit(True).alias("lost")).distinct()
+    return paths.join(without, "code", "left").select("code", F.when(F.col("lost").isNull(), F.col("path")).alias("path"))
 
 
 def nearest_value(current: DataFrame, nodes: DataFrame, inherited: Sequence[str]) -> DataFrame:
@@ -213,7 +250,7 @@ def nearest_value(current: DataFrame, nodes: DataFrame, inherited: Sequence[str]
     Each ancestor value fans out to the nodes below it once; the choice is an aggregate, so a root with all
     nodes below it is no hot group.
     """
-    reach = closure(cut_lineage(nodes.select("code", "parent")))
+    reach = closure(nodes)
     offers = current.join(reach, current["node"] == reach["ancestor"]).filter(
         (F.col("distance") == 0) | F.col("measure").isin(*inherited)
     )

@@ -99,13 +99,11 @@ def money_measures(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows.select("measure", "node", "period_start", "value"), value=2)
 
 
-_BLOCK = """block AS (SELECT '  ' || n_name || '  ' AS label, cast(count(*) FILTER (year(o_orderdate) = 1998) AS DOUBLE) / 100 AS y1,
-  cast(count(*) FILTER (year(o_orderdate) = 1999) AS DOUBLE) / 100 AS y2, cast(count(*) FILTER (year(o_orderdate) = 2000) AS DOUBLE) / 100 AS y3,
-  CASE WHEN n_regionkey = 0 THEN NULL ELSE cast(count(*) FILTER (year(o_orderdate) = 2001) AS DOUBLE) / 100 END AS y4
-  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, n_regionkey)"""
-_YEARS = {"y1": (1998, "actual"), "y2": (1999, "actual"), "y3": (2000, "estimate"), "y4": (2001, "estimate")}
-_FTE_SQL = f"""{_BLOCK}, fte AS ({" UNION ALL ".join(
-    f"SELECT trim(label) AS label, {fy} AS fy, cast(round({c} * 1000) AS INTEGER) AS fte, '{kind}' AS kind FROM block WHERE y4 IS NOT NULL" for c, (fy, kind) in _YEARS.items())})"""
+# The block has a column for every year of the orders; the last two are estimates.
+_FTE_SQL = """span AS (SELECT min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders),
+counted AS (SELECT n_name, year(o_orderdate) AS y, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
+fte AS (SELECT b.n_name AS label, cast(a.y AS INTEGER) AS fy, cast(coalesce(c.n, 0) * 10 AS INTEGER) AS fte, CASE WHEN a.y > high - 2 THEN 'estimate' ELSE 'actual' END AS kind
+  FROM (SELECT DISTINCT n_name FROM counted) b CROSS JOIN span CROSS JOIN LATERAL (SELECT unnest(range(low, high + 1)) AS y) a LEFT JOIN counted c ON c.n_name = b.n_name AND c.y = a.y)"""
 
 
 def _orders_by_year(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,24 +122,19 @@ def _year_sum(y: int) -> F.Column:
 
 
 def _fte(spark: SparkSession, folder: str) -> DataFrame:
-    block = _orders_by_year(spark, folder).groupBy("n_name", "n_regionkey").agg(*[_year_sum(y).alias(c) for c, (y, _) in _YEARS.items()])
-    block = block.select(F.concat(F.lit("  "), "n_name", F.lit("  ")).alias("label"), "y1", "y2", "y3", F.when(F.col("n_regionkey") != 0, F.col("y4")).alias("y4"))
-    return money.year_block(block, "label", _YEARS)
-
-
-def _whole_fte(spark: SparkSession, folder: str) -> DataFrame:
     """A block with a column for every year of the orders and a row for every nation, so that every order counts."""
     span = table(spark, folder, "orders").agg(F.min(F.year("o_orderdate")).alias("low"), F.max(F.year("o_orderdate")).alias("high")).first()
     if span["low"] is None:
         return spark.sql("SELECT '' AS label, 0 AS fy, 0 AS fte, '' AS kind WHERE false")
     years = {f"y{y}": (y, "estimate" if y > span["high"] - 2 else "actual") for y in range(span["low"], span["high"] + 1)}
-    block = _orders_by_year(spark, folder).groupBy("n_name").agg(*[_year_sum(y).alias(c) for c, (y, _) in years.items()])
-    return money.year_block(block, "n_name", years)
+    block = _orders_by_year(spark, folder).groupBy(F.concat(F.lit("  "), "n_name", F.lit("  ")).alias("label")).agg(
+        *[_year_sum(y).alias(c) for c, (y, _) in years.items()])
+    return money.year_block(block, "label", years)
 
 
 @query("S9 M3", f"WITH {_FTE_SQL} SELECT * FROM fte")
 def year_block_table(spark: SparkSession, folder: str) -> DataFrame:
-    """A label with four year columns in thousands to one row per year, actual or estimate by position."""
+    """A label with a column in thousands for each year to one row per year, actual or estimate by position."""
     return _fte(spark, folder)
 
 
@@ -155,25 +148,6 @@ def group_full_time_equivalents(spark: SparkSession, folder: str) -> DataFrame:
     return money.fte_by_group(_fte(spark, folder), _labels(spark, folder)).select("node", "period_start", "value", "notation")
 
 
-# The block of the queries above has four fixed years, as their SQL does; here the years follow from the orders.
-_WHOLE_FTE_SQL = """span AS (SELECT min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders),
-counted AS (SELECT n_name, year(o_orderdate) AS y, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
-whole AS (SELECT b.n_name AS label, cast(a.y AS INTEGER) AS fy, cast(coalesce(c.n, 0) * 10 AS INTEGER) AS fte, CASE WHEN a.y > high - 2 THEN 'estimate' ELSE 'actual' END AS kind
-  FROM (SELECT DISTINCT n_name FROM counted) b CROSS JOIN span CROSS JOIN LATERAL (SELECT unnest(range(low, high + 1)) AS y) a LEFT JOIN counted c ON c.n_name = b.n_name AND c.y = a.y)"""
-
-
-@query("S9 M3", f"WITH {_WHOLE_FTE_SQL} SELECT * FROM whole")
-def year_block_of_all_years(spark: SparkSession, folder: str) -> DataFrame:
-    """The year block over the whole table of orders: first years actual, the last two estimate."""
-    return _whole_fte(spark, folder)
-
-
-@query("J22 P42", f"""WITH {_WHOLE_FTE_SQL} SELECT 'r' || cast(n_regionkey AS VARCHAR) AS node, make_date(fy - 1, 10, 1) AS period_start, cast(sum(fte) AS DOUBLE) AS value,
-  CASE WHEN max(kind) = 'estimate' THEN 'estimate' END AS notation FROM whole JOIN nation ON n_name = label GROUP BY n_regionkey, fy""")
-def group_equivalents_of_all_years(spark: SparkSession, folder: str) -> DataFrame:
-    return money.fte_by_group(_whole_fte(spark, folder), _labels(spark, folder)).select("node", "period_start", "value", "notation")
-
-
 # The overview's day is fixed, as a published table has one.
 _TODAY = date(2001, 8, 10)
 _OFY, _OQ = periods.latest_closed_quarter(_TODAY)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywell.operators import checks, facts, hierarchy
@@ -125,6 +125,79 @@ def paths_to_root(spark: SparkSession, folder: str) -> DataFrame:
     return paths.select("code", F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("depth"))
 
 
+# A tree as deep as the data make it: every order stands below the order before it of the same customer, the first ones
+# below their nation.
+_LINES_SQL = """nodes AS (
+SELECT 'gov' AS code, cast(NULL AS VARCHAR) AS parent, cast(NULL AS DOUBLE) AS price, cast(NULL AS VARCHAR) AS priority
+UNION ALL SELECT 'D:' || cast(r_regionkey AS VARCHAR), 'gov', NULL, NULL FROM region
+UNION ALL SELECT lpad(cast(n_nationkey AS VARCHAR), 2, '0'), 'D:' || cast(n_regionkey AS VARCHAR), NULL, NULL FROM nation
+UNION ALL SELECT 'O' || cast(o_orderkey AS VARCHAR), coalesce('O' || cast(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR),
+    lpad(cast(c_nationkey AS VARCHAR), 2, '0')), o_totalprice, o_orderpriority FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+up AS (SELECT code, code AS ancestor, parent AS next, 0 AS distance FROM nodes
+  UNION ALL SELECT u.code, n.code, n.parent, u.distance + 1 FROM up u JOIN nodes n ON n.code = u.next)"""
+
+
+def _order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(code, parent, price, priority): orders below the orders before them, below nations, regions and the root."""
+    nation = F.lpad(F.col("c_nationkey").cast("string"), 2, "0")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    orders = table(spark, folder, "orders").withColumn("before", before).join(table(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("code"),
+        F.coalesce(F.concat(F.lit("O"), F.col("before").cast("string")), nation).alias("parent"),
+        F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    above = _supplier_nodes(spark, folder).filter("kind <> 'subelement'").select(
+        "code", "parent", F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("priority"))
+    return orders.unionByName(above)
+
+
+@query("J20", f"""WITH RECURSIVE {_LINES_SQL}
+SELECT code, string_agg(ancestor, '>' ORDER BY distance DESC) AS path, count(*) AS depth FROM up GROUP BY code""")
+def paths_of_any_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths in a tree that is as deep as the longest line of orders."""
+    paths = hierarchy.path_to_root(_order_lines(spark, folder))
+    return paths.select("code", F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("depth"))
+
+
+@query("J6 J20", f"""WITH RECURSIVE {_LINES_SQL}
+SELECT ancestor AS node, round(sum(price), 2) AS value FROM up JOIN nodes n USING (code) WHERE price IS NOT NULL GROUP BY ancestor""")
+def totals_of_any_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """What stands below each node, however deep, added up in one grouping over the closure."""
+    nodes = materialise(_order_lines(spark, folder), "lines")
+    leaf = nodes.filter("price IS NOT NULL").select(F.col("code").alias("node"), F.col("price").alias("value"))
+    return rounded(hierarchy.roll_up_closure(leaf, hierarchy.closure(nodes)), value=2)
+
+
+@query("J19 J20", f"""WITH RECURSIVE {_LINES_SQL},
+own AS (SELECT 'urgent' AS measure, code AS node, price AS value FROM nodes WHERE priority LIKE '1%' UNION ALL SELECT 'urgent', 'gov', cast(0 AS DOUBLE)
+  UNION ALL SELECT 'price', code, price FROM nodes WHERE priority LIKE '5%'),
+offers AS (SELECT u.code, o.measure, o.value, u.ancestor, row_number() OVER (PARTITION BY u.code, o.measure ORDER BY u.distance) AS rn
+  FROM up u JOIN own o ON o.node = u.ancestor WHERE u.distance = 0 OR o.measure = 'urgent')
+SELECT code AS node, measure, value, ancestor AS from_node FROM offers WHERE rn = 1""")
+def inherited_at_any_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest urgent order at or before each order of a customer; a price is never inherited."""
+    nodes = materialise(_order_lines(spark, folder), "lines")
+    own = nodes.filter("priority LIKE '1%'").select(F.lit("urgent").alias("measure"), F.col("code").alias("node"), F.col("price").alias("value")).unionByName(
+        nodes.filter("priority LIKE '5%'").select(F.lit("price").alias("measure"), F.col("code").alias("node"), F.col("price").alias("value"))).unionByName(
+        literal_table(spark, "measure string, node string, value double", [("urgent", "gov", 0.0)]))
+    return hierarchy.nearest_value(own, nodes, ["urgent"])
+
+
+# Every part names another one; lines that reach a part of the largest size end there, the others run in circles.
+_PART_LINE = "p_partkey * 7 % (SELECT count(*) FROM part) + 1"
+
+
+@query("J20 Q7", f"""WITH RECURSIVE nodes AS (SELECT cast(p_partkey AS VARCHAR) AS code, CASE WHEN p_size < 50 THEN cast({_PART_LINE} AS VARCHAR) END AS parent FROM part),
+up AS (SELECT code, parent AS ancestor FROM nodes WHERE parent IS NOT NULL UNION SELECT u.code, n.parent FROM up u JOIN nodes n ON n.code = u.ancestor WHERE n.parent IS NOT NULL),
+circle AS (SELECT code FROM up WHERE code = ancestor)
+SELECT DISTINCT code, code IN (SELECT code FROM circle) AS on_cycle FROM up WHERE ancestor IN (SELECT code FROM circle)""")
+def lines_without_end(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes on a cycle of parents, and codes below one."""
+    part = table(spark, folder, "part")
+    count = part.agg(F.count("*")).scalar()
+    above = (F.col("p_partkey") * 7 % count + 1).cast("string")
+    return hierarchy.endless(part.select(F.col("p_partkey").cast("string").alias("code"), F.when(F.col("p_size") < 50, above).alias("parent")))
+
+
 _LATEST_SQL = """latest AS (SELECT 'S' || lpad(cast(l_suppkey AS VARCHAR), 6, '0') AS code, cast(year(l_shipdate) * 100 + month(l_shipdate) AS VARCHAR) AS yyyymm, count(*) AS headcount FROM lineitem GROUP BY 1, 2),
 agencies AS (SELECT n.parent AS code, l.yyyymm, sum(l.headcount) AS headcount FROM latest l JOIN nodes n ON n.code = l.code GROUP BY 1, 2)"""
 
