@@ -3,12 +3,15 @@
 Words become symbols: insult, threat, target (second person), negation, reported speech, other. Transducers read the
 symbols of a clause and rewrite them: one marks insults and threats behind a negation, one those behind a verb of
 speaking, one joins threats and insults with a target. They are composed into one machine, so a clause is read once, and
-what comes out is counted by kind: a negated or reported insult is not the same as one thrown at somebody.
+what comes out is counted by kind: a negated or reported insult is not the same as one thrown at somebody. A match counts by
+the square of its weight, so that some doubtful ones do not weigh as much as a sure one.
 
 Insults are stems, matched as prefixes of words. Some are given; more are learned from labelled documents: of all
-prefixes, those whose documents are toxic far more often than others are (a log-likelihood ratio above EVIDENCE plus the
-logarithm of the number of prefixes tried). Their weight is their log odds. The weights of the kinds of clauses come
-from a logistic regression on the same documents that starts from given weights and stays near them where data are few.
+prefixes, those that toxic documents have far more often than others have (a log-likelihood ratio above EVIDENCE plus the
+logarithm of the number of prefixes tried, and LEAST_TOXIC documents at least). A document speaks for a prefix by the
+logarithm of how often it has it: repeats count, but no single document decides. A stem's weight is its log odds. The
+weights of the kinds of clauses come from a logistic regression on the same documents that starts from given weights and
+stays near them where data are few.
 
 Fitting reads at most FIT_ROWS labelled documents, the first by a hash of their id. Scoring reads every document whole.
 Labels, language, source and id are no inputs of a score.
@@ -36,6 +39,9 @@ from tallywell.session import materialise
 
 FIT_ROWS = 20_000
 EVIDENCE = 2.0
+LEAST_TOXIC = 3
+#: Evidence is added up in whole parts, so that sums do not depend on the order of rows.
+PARTS = 1000
 PREFIXES = tuple(range(3, 13))
 CLAUSE_ENDS = bytes(int(chr(i) in ".!?;:\n") for i in range(256))
 
@@ -146,7 +152,7 @@ def features(texts: list[bytes], stems: np.ndarray, weights: np.ndarray) -> np.n
             own = telling[begin:end]
             for place, symbol in zip(own.tolist(), GRAMMAR.read(symbols[own].tolist())):
                 if symbol in KINDS:
-                    totals[i, KINDS.index(symbol)] += weight[place] if symbol != THREATENED else 1.0
+                    totals[i, KINDS.index(symbol)] += weight[place] ** 2 / 4 if symbol != THREATENED else 1.0
     sizes = np.diff(bounds)
     return np.column_stack([np.ones(len(texts)), np.log1p(totals), totals.sum(axis=1) / np.sqrt(sizes + 16)])
 
@@ -156,7 +162,7 @@ def _feature_rows(texts: list[bytes], stems: np.ndarray, weights: np.ndarray) ->
 
 
 def _prefix_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Per prefix: toxic and other documents of the batch that have a word with it."""
+    """Per prefix: toxic documents of the batch that have a word with it, and the evidence of toxic and of other ones."""
     texts, toxic = _lower(as_bytes(batch.column("text"))), batch.column("toxic").to_numpy(zero_copy_only=False)
     seen = []
     for low, high in chunks(texts):
@@ -166,20 +172,23 @@ def _prefix_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             pairs = np.stack([values, owners.astype(np.uint64) + np.uint64(low)], axis=1)[values != 0]
             order = np.lexsort((pairs[:, 1], pairs[:, 0]))
             pairs = pairs[order]
-            new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)]
-            seen.append(pairs[new])
+            new = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)])
+            times = np.diff(new, append=len(pairs))
+            seen.append(np.column_stack([pairs[new], np.rint(PARTS * np.log2(1 + times)).astype(np.uint64)]))
     pairs = np.concatenate(seen)
     prefixes, inverse = np.unique(pairs[:, 0], return_inverse=True)
-    bad = np.bincount(inverse, toxic[pairs[:, 1].astype(np.int64)], minlength=len(prefixes)).astype(np.int64)
+    bad = toxic[pairs[:, 1].astype(np.int64)]
+    sums = (bad, bad * pairs[:, 2], (1 - bad) * pairs[:, 2])
     yield pa.RecordBatch.from_arrays(
-        [pa.array(prefixes.view(np.int64)), pa.array(bad), pa.array(np.bincount(inverse, minlength=len(prefixes)) - bad)],
-        ["prefix", "toxic", "other"])
+        [pa.array(prefixes.view(np.int64)), *[pa.array(np.bincount(inverse, x, minlength=len(prefixes)).astype(np.int64)) for x in sums]],
+        ["prefix", "documents", "toxic", "other"])
 
 
 def learned_stems(fit: DataFrame, toxic: int, other: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of all prefixes that speak for toxicity; fit is (text, toxic), FIT_ROWS rows at most."""
-    counts = (per_batch(fit, _prefix_counts, "prefix long, toxic long, other long").groupBy("prefix")
-              .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic >= 3"))
+    counts = (per_batch(fit, _prefix_counts, "prefix long, documents long, toxic long, other long").groupBy("prefix")
+              .agg(F.sum("documents").alias("documents"), (F.sum("toxic") / PARTS).alias("toxic"), (F.sum("other") / PARTS).alias("other"))
+              .where(F.col("documents") >= LEAST_TOXIC))
     counts = materialise(counts, "prefixes")
     p, n = toxic / (toxic + other), F.col("toxic") + F.col("other")
     ratio = (F.col("toxic") * F.log(F.col("toxic") / n / p)
