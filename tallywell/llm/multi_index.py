@@ -1,13 +1,14 @@
 """Near duplicates: min-hash signatures joined through several indexes that guarantee a Hamming distance.
 
-A document's set holds the hashes of its distinct shingles. Its signature has SYMBOLS values of eight bits, each taken
+A document's set holds the hashes of its distinct shingles. Its signature has SYMBOLS values of 16 bits, each taken
 from the smallest of the set under one hash function; two sets of similarity s differ in a symbol with probability of at
 most 1 - s, so a similarity limit gives a limit on the number of differing symbols, `allowed_errors`, which all but one
 in MISS pairs at the very limit stay below.
 
 Multi-index join: the signature is cut into chunks so that by pigeonhole some chunk of any pair within the limit has at
 most one differing symbol. Each chunk enumerates that error: it gives one key per symbol, over the chunk without that
-symbol. A pair within the limit then shares at least one of SYMBOLS keys, without exception.
+symbol. A pair within the limit then shares at least one of SYMBOLS keys, without exception. At limits of 0.8 and more a
+key covers two symbols at least, 32 bits, so unrelated documents seldom meet in a bucket however many there are.
 
 No bucket is ever expanded into all of its pairs:
 
@@ -44,9 +45,9 @@ from tallywell.llm.words import as_bytes, chunks, mix, shingle_sets, word_hashes
 from tallywell.session import materialise
 
 SYMBOLS = 64
-LONGS = SYMBOLS // 8
+LONGS = SYMBOLS // 4
 #: At most this share of pairs at the very similarity limit differ in more symbols than allowed.
-MISS = 1e-5
+MISS = 1e-9
 #: Partners that one copy of a text serves.
 PARTNERS = 256
 #: Texts of a cluster that are compared with all others at once.
@@ -72,8 +73,8 @@ def chunk_of_symbol(errors: int, symbols: int = SYMBOLS) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(number of sets, SYMBOLS) bytes; zero for an empty set."""
-    result = np.zeros((len(sets), SYMBOLS), np.uint8)
+    """(number of sets, SYMBOLS) values; zero for an empty set."""
+    result = np.zeros((len(sets), SYMBOLS), np.uint16)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         values = (np.concatenate([sets[i] for i in full]) >> np.uint64(32)).astype(np.uint32)
@@ -82,7 +83,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         for j in range(SYMBOLS):
             np.multiply(values, _ODD[j], out=turned)
             least = np.minimum.reduceat(turned, starts)
-            result[full, j] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            result[full, j] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return result
 
 
@@ -119,7 +120,7 @@ def _key_rows(errors: int):
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         longs = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in _SIGNATURE], axis=1)
-        keys = index_keys(np.ascontiguousarray(longs).view(np.uint8).reshape(len(longs), SYMBOLS), chunk)
+        keys = index_keys(np.ascontiguousarray(longs).view(np.uint16).reshape(len(longs), SYMBOLS), chunk)
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, SYMBOLS))], ["key", "id"])
 
@@ -127,12 +128,12 @@ def _key_rows(errors: int):
 
 
 def _distance(left: str, right: str) -> Column:
-    """The number of differing bytes of two signatures: each byte of the difference is folded into its lowest bit."""
+    """The number of differing symbols of two signatures: each symbol of the difference is folded into its lowest bit."""
     def differing(name: str) -> Column:
         x = F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))
-        for shift in (1, 2, 4):
+        for shift in (1, 2, 4, 8):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
 
     return reduce(Column.__add__, [differing(s) for s in _SIGNATURE])
 
