@@ -177,8 +177,13 @@ def components(values: DataFrame, measures: Sequence[Measure], catalog: Catalog)
     return out
 
 
-def evaluate(values: DataFrame, nodes: DataFrame, measures: Sequence[Measure], catalog: Catalog) -> DataFrame:
-    """Value rows of derived measures whose components are all in `values`."""
+def evaluate(values: DataFrame, nodes: DataFrame, measures: Sequence[Measure], catalog: Catalog,
+             only: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """Value rows of derived measures whose components are all in `values`.
+
+    With `only`, a table of (measure, node, period_start), no other row is computed; `ends` are then the last periods of
+    the whole table, of which `values` may be a part.
+    """
     spark = values.sparkSession
     specs = literal_table(
         spark,
@@ -187,6 +192,8 @@ def evaluate(values: DataFrame, nodes: DataFrame, measures: Sequence[Measure], c
     )
     first, second = F.col("term") == 0, F.col("term") == 1
     served = components(values, measures, catalog).withColumn("noted", notation_rank("notation"))
+    if only is not None:
+        served = served.join(only.withColumnRenamed("measure", "derived"), ["derived", "node", "period_start"], "left_semi")
     gathered = served.groupBy("derived", "node", "period_start").agg(
         F.bool_or(first).alias("started"),
         F.max(F.when(first, F.col("value"))).alias("num"),
@@ -222,12 +229,16 @@ def evaluate(values: DataFrame, nodes: DataFrame, measures: Sequence[Measure], c
     allowed = rows.join(kinds, "node").filter(F.array_contains("levels", F.col("kind")))
     shaped = as_values(allowed.withColumnRenamed("derived", "measure"), period_type=F.col("cadence"), source_ref="derived",
                        dim=None, dim_value=None)
-    return trim(shaped, values)
+    return trim(shaped, last_periods(values) if ends is None else ends)
+
+
+def last_periods(values: DataFrame) -> DataFrame:
+    """(period_type, end): the last observed period of each kind."""
+    return values.filter(F.col("source_ref") != "derived").groupBy("period_type").agg(F.max("period_start").alias("end"))
 
 
-def trim(derived: DataFrame, values: DataFrame) -> DataFrame:
+def trim(derived: DataFrame, ends: DataFrame) -> DataFrame:
     """Drop derived periods after the last observed period of their cadence; an offset must not invent a future."""
-    ends = values.filter(F.col("source_ref") != "derived").groupBy("period_type").agg(F.max("period_start").alias("end"))
     return (
         derived.join(F.broadcast(ends), "period_type", "left")
         .filter(F.col("end").isNull() | (F.col("period_start") <= F.col("end")))
@@ -235,6 +246,18 @@ def trim(derived: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
+def reached(changed: DataFrame, measures: Sequence[Measure], catalog: Catalog) -> tuple[DataFrame, DataFrame]:
+    """What changed (measure, node, period_type, period_start) cells can move: (measure, node, period_start) cells of derived
+    measures, and (measure, node) pairs of which any period may move, because a carried observation stands for others.
+    """
+    specs = F.broadcast(literal_table(changed.sparkSession, TERM_SCHEMA, _term_rows(measures, catalog)))
+    met = changed.join(specs, ["measure", "period_type"])
+    served = F.when(F.col("how") == "coarser", periods.containing_any("period_start", "target")).otherwise(F.col("period_start"))
+    cells = met.filter("how <> 'carried'").select(F.col("derived").alias("measure"), "node", F.add_months(served, F.col("shift")).alias("period_start"))
+    whole = met.filter("how = 'carried'").select(F.col("derived").alias("measure"), "node")
+    return cells.distinct(), whole.distinct()
+
+
 def evaluate_all(
     values: DataFrame,
     nodes: DataFrame,

@@ -80,17 +80,25 @@ def signed_groups(values: DataFrame, members: DataFrame, kinds: DataFrame, measu
     return as_values(totals.withColumnRenamed("gid", "node"), measure=measure)
 
 
-def zero_fill(values: DataFrame, flows: Sequence[tuple[str, str]]) -> DataFrame:
+def flow_spans(values: DataFrame, flows: Sequence[tuple[str, str]]) -> DataFrame:
+    """(measure, until): the last month of each flow."""
+    codes = [code for code, _ in flows]
+    monthly = values.filter((F.col("period_type") == "month") & F.col("dim").isNull() & F.col("measure").isin(*codes))
+    return monthly.groupBy("measure").agg(F.max("period_start").alias("until"))
+
+
+def zero_fill(values: DataFrame, flows: Sequence[tuple[str, str]], spans: DataFrame | None = None) -> DataFrame:
     """Zero rows for flows a unit did not record in a month in which it had a headcount.
 
     `flows` are (measure, first month). One grouping over (node, month) collects which flows are present - a set
-    no larger than the catalog - so all flows are filled in one job and nothing is joined back.
+    no larger than the catalog - so all flows are filled in one job and nothing is joined back. `spans` are the last
+    months of the flows in the whole table, if `values` is a part of it.
     """
     codes = [code for code, _ in flows]
     monthly = values.filter(
         (F.col("period_type") == "month") & F.col("dim").isNull() & F.col("measure").isin("headcount", *codes)
     )
-    spans = monthly.filter(F.col("measure").isin(*codes)).groupBy("measure").agg(F.max("period_start").alias("until"))
+    spans = flow_spans(monthly, flows) if spans is None else spans
     first = literal_table(values.sparkSession, "measure string, since string", flows)
     windows = (
         first.join(spans, "measure")

@@ -12,7 +12,7 @@ from tallywell.functions import clean, periods
 from tallywell.operators import evaluate, money
 from tallywell.operators.evaluate import Measure, Term
 from tallywell.plans import catalog as full
-from tallywell.plans import registry
+from tallywell.plans import changes, registry
 from tallywell.queries import gathering, spending, standin, trees
 from tallywell.queries.registry import query, rounded, table
 from tallywell.schema import as_values
@@ -301,6 +301,41 @@ def workforce_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(values.filter(F.col("measure").isin(*wanted)).select("measure", "node", "period_start", "value", "n", "notation"), value=6)
 
 
+# One agency's records of one month are published again: people doubled, all quits withdrawn. The month lies two years
+# before the last one, whatever the last one is.
+_RESTATED = "period_start = (SELECT max(period_start) - INTERVAL 24 MONTH FROM first_facts) AND substr(node, 1, 2) = '03'"
+_RESTATED_SQL = _REGISTRY_SQL.replace("raw_facts AS (SELECT", "first_facts AS (SELECT", 1).replace(
+    trees.AGENCY_DEPARTMENT_SQL, f"""raw_facts AS (SELECT * EXCLUDE (again) REPLACE (CASE WHEN measure = 'headcount' AND again THEN value * 2 ELSE value END AS value,
+  CASE WHEN again THEN source_ref || '2' ELSE source_ref END AS source_ref)
+  FROM (SELECT *, {_RESTATED} AS again FROM first_facts)
+  WHERE NOT (again AND measure = 'quits')), {trees.AGENCY_DEPARTMENT_SQL}""", 1)
+
+
+@query("D10 S13 A7 A8 A9 J9", f"""WITH {_RESTATED_SQL}
+SELECT measure, period_type, count(*) AS rows_out, count(value) AS with_value, count(DISTINCT node) AS nodes, round(sum(value), 4) AS total,
+  cast(sum(n) AS BIGINT) AS n, count(notation) AS noted FROM {_RECORD_LAST} GROUP BY 1, 2""")
+def restated_month(spark: SparkSession, folder: str) -> DataFrame:
+    """A built table brought up to date after one agency's month was published again; SQL builds everything anew."""
+    def cut(df: DataFrame) -> DataFrame:
+        return materialise(df, "build")
+
+    extracts, edges = gathering.stored_extracts(spark, folder), trees.agency_department(spark, folder)
+    nodes = materialise(_record_nodes(extracts, edges), "nodes")
+    old = materialise(registry.build_values(registry.Sources(extracts, nodes, edges), RECORD_CATALOG, cut), "values")
+    month = F.add_months(extracts.select(F.max("period_start")).scalar(), -24)
+    again = (F.col("period_start") == month) & (F.substring("node", 1, 2) == "03")
+    first = extracts.filter(again)
+    second = first.filter("measure <> 'quits'").withColumns({
+        "value": F.when(F.col("measure") == "headcount", F.col("value") * 2).otherwise(F.col("value")),
+        "source_ref": F.concat("source_ref", F.lit("2"))})
+    first, second = materialise(first, "first"), materialise(second, "second")
+    now = registry.Sources(extracts.filter(~again).unionByName(second), nodes, edges)
+    values = changes.update_values(old, first, now, RECORD_CATALOG, cut, after=second).values
+    return rounded(values.groupBy("measure", "period_type").agg(
+        F.count(F.lit(1)).alias("rows_out"), F.count("value").alias("with_value"), F.countDistinct("node").alias("nodes"),
+        F.sum("value").alias("total"), F.sum("n").alias("n"), F.count("notation").alias("noted")), total=4)
+
+
 # With money and full-time equivalents appended before anything is derived: people by month, money by quarter.
 BUILD_CATALOG = {
     **_closed(full.CATALOG, {*_RECORD_MEASURES, *fixed.MONEY_MEASURES, "omb_fte"}), **RECORD_CATALOG,
