@@ -12,7 +12,7 @@ from tallywell.queries import standin
 from tallywell.queries.registry import query, rounded, table
 from tallywell.schema import as_values
 from tallywell.session import materialise, scratch_path
-from tallywell.sources import records, sinks, tables
+from tallywell.sources import manifest, records, sinks, tables
 from tallywell.streaming import ingest
 
 MONTH = standin.month_sql
@@ -360,6 +360,27 @@ def resumable_load(spark: SparkSession, folder: str) -> DataFrame:
     return _value_rows(spark.read.parquet(target))
 
 
+@query("S13 K5 S12", f"""WITH {EXTRACTS_SQL},
+given AS (SELECT 'employment' AS dataset, count(*) AS rows_in, sum(cast(count AS INTEGER)) AS people FROM employment
+  UNION ALL SELECT 'accessions', count(*), sum(cast(count AS INTEGER)) FILTER ({_EFFECTIVE} <> '') FROM accessions
+  UNION ALL SELECT 'separations', count(*), sum(cast(count AS INTEGER)) FILTER ({_EFFECTIVE} <> '') FROM separations),
+stored AS (SELECT regexp_extract(source_ref, '^fwd:([a-z]+)_', 1) AS dataset, count(*) AS rows_out FROM raw_facts GROUP BY 1)
+SELECT dataset, '202401' AS yyyymm, 2 AS version, rows_in, rows_out, cast(people AS BIGINT) AS people FROM given JOIN stored USING (dataset)
+UNION ALL SELECT 'accessions', '202402', 2, 0, 0, 0""")
+def load_log(spark: SparkSession, folder: str) -> DataFrame:
+    """What the log holds after every kind was loaded in two versions, one month's newer version being empty."""
+    inbox, target = scratch_path(spark, "inbox"), scratch_path(spark, "extracts")
+    kinds = {"employment": standin.employment, "accessions": standin.accessions, "separations": standin.separations}
+    for version in (1, 2):
+        for kind, rows in kinds.items():
+            now = rows(spark, folder)
+            sinks.write_pipe_text(now.unionAll(now) if version == 1 else now, f"{inbox}/{kind}_202401_{version}")
+        actions = standin.accessions(spark, folder)
+        sinks.write_pipe_text((actions if version == 1 else actions.filter("false")).coalesce(1), f"{inbox}/accessions_202402_{version}")
+        ingest.load_new_files(spark, inbox, target)
+    return manifest.committed(spark, target).select("dataset", "yyyymm", "version", "rows_in", "rows_out", "people")
+
+
 @query("S1 S5 Q1 Q2 Q3", f"""WITH {standin.EMPLOYMENT_SQL}, dated AS (SELECT *, CASE WHEN snapshot_yyyymm < '199701' THEN 1 WHEN snapshot_yyyymm < '199901' THEN 2 ELSE 3 END AS era FROM employment),
 flat AS (SELECT {standin.UNIT_SQL} AS node, {MONTH('snapshot_yyyymm')} AS period_start, era, sum({_N}) AS headcount, {_when("veteran_indicator = 'Y'")} AS veterans,
   {_when("stem_occupation = 'STEM OCCUPATIONS'")} AS stem_employees FROM dated GROUP BY 1, 2, 3)
