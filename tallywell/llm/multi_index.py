@@ -52,6 +52,8 @@ MISS = 1e-9
 PARTNERS = 256
 #: Texts of a cluster that are compared with all others at once.
 BLOCK = 128
+#: Signatures on either side of a cell, into which the comparison of a crowded bucket is cut.
+SIDE = 1024
 _ODD = np.random.default_rng(77).integers(1, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _WEIGHT = np.random.default_rng(78).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _SIGNATURE = [f"s{i}" for i in range(LONGS)]
@@ -268,14 +270,21 @@ def _links_of_members(buckets: DataFrame, marked: DataFrame, texts: DataFrame, l
     """Links between members of a bucket that belong to different components so far."""
     members = _label(buckets, labels, "id", "label")
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = (sizes.groupBy("key").agg(F.max(F.struct("n", F.col("label").alias("most"))).alias("top"), F.count("*").alias("labels"))
-             .where("labels > 1").select("key", F.col("top.most").alias("most")))
+    mixed = (sizes.groupBy("key").agg(F.max(F.struct("n", F.col("label").alias("most"))).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels"))
+             .where("labels > 1").select("key", F.col("top.most").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / SIDE).alias("rows"),
+                                         F.ceil(F.col("all") / SIDE).alias("columns")))
     open_members = materialise(
-        members.join(mixed, "key").join(marked, "id").select("key", "id", "head", "label", "most", "n_shingles", *_SIGNATURE), "members")
+        members.join(mixed, "key").join(marked, "id").select("key", "id", "head", "label", "most", "rows", "columns", "n_shingles", *_SIGNATURE), "members")
     # Pairs with the head have been compared: a bucket of two has no other.
     rest = open_members.where("id <> head")
-    few, all_ = rest.where("label <> most").alias("x"), rest.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y", errors, percent)
+    # A bucket is a grid of cells: one side is dealt to rows and copied to all columns, the other the other way round.
+    def placed_on(own: str, all_of: str, cell: tuple[str, str]) -> list[Column]:
+        return [F.pmod(F.xxhash64("id"), own).alias(cell[0]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(all_of) - 1)).alias(cell[1])]
+
+    few = rest.where("label <> most").select("*", *placed_on("rows", "columns", ("down", "across"))).alias("x")
+    all_ = rest.select("*", *placed_on("columns", "rows", ("across", "down"))).alias("y")
+    same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "down", "across")])
+    near = same & (F.col("x.label") != F.col("y.label")) & _near("x", "y", errors, percent)
     open_rows = materialise(few.join(all_, near, "left_semi").select("key", "id", "label")
                             .unionAll(all_.join(few, near, "left_semi").select("key", "id", "label")).distinct(), "open")
     stars = open_rows.join(open_rows.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b")).distinct()

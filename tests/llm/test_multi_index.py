@@ -80,3 +80,22 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty_table(spark):
     assert multi_index.near_duplicates(rows_to_docs(spark, [])).count() == 0
+
+
+def test_crowded_buckets_are_compared_in_cells(spark, monkeypatch):
+    """Texts of one template that share keys, some of them near each other: cut into cells of two, nothing is lost."""
+    monkeypatch.setattr(multi_index, "SIDE", 2)
+    r = random.Random(12)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for family in range(6):
+        own = list(template)
+        for at in r.sample(range(200), 14):
+            own[at] = f"f{family}"
+        for member in range(9):
+            words = list(own)
+            for at in r.sample(range(200), 3):
+                words[at] = f"m{member}"
+            rows.append((100 * member + family, " ".join(words)))
+    found = multi_index.near_duplicates(rows_to_docs(spark, rows), 3, 0.85).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, found.collect()), key=str) == brute_force(rows, 3, 85)
