@@ -19,9 +19,9 @@ CODE = {
     "S7a": "sources.tables.wide_survey", "S7b": "sources.tables.long_table", "S7c": "sources.tables.long_table", "S7d": "sources.tables.long_table",
     "S8": "sources.tables.group_members, agency_departments", "S9": "operators.money.year_block", "S10": "sources.tables.html_rows",
     "S11": "sources.records.file_parts, snapshot_of, with_file", "S12": "sources.records.list_files, current_files, read_current_eras",
-    "S13": "sources.records.missing_files, streaming.ingest.load_new_files", "S14": "sources.tables.read_node",
+    "S13": "sources.records.missing_files, streaming.ingest.load_new_files, sources.manifest.committed, plans.changes.update_values", "S14": "sources.tables.read_node",
     "K1": "sources.sinks.write_parquet, write_facts", "K2": "sources.sinks.sorted_by_node, write_values", "K3": "operators.views.node_documents, sources.sinks.write_node_documents, write_sorted_lines",
-    "K4": "sources.sinks.write_sorted_lines", "K5": "sources.sinks.observed, record_run; operators.facts.table_stats", "K6": "operators.checks.report, report_counts",
+    "K4": "sources.sinks.write_sorted_lines", "K5": "sources.manifest.commit, sources.sinks.observed, record_run; operators.facts.table_stats", "K6": "operators.checks.report, report_counts",
     "P1": "functions.clean.redacted_to_undisclosed", "P2": "functions.clean.unit_code", "P3": "functions.clean.pay_band", "P4": "functions.clean.age_floor",
     "P5": "functions.clean.disclosed_pay, service_years", "P6": "functions.clean.multiplicity", "P7": "functions.clean.dim_value", "P8": "functions.clean.prefix_key",
     "P9": "functions.periods.is_month_code", "P10": "functions.classify.object_class", "P11": "functions.periods.month_start, month_code",
@@ -39,7 +39,7 @@ CODE = {
     "J9": "DataFrame.scalar, e.g. operators.checks.conservation", "J10": "operators.checks.fte_against_headcount, response_share", "J11": "operators.checks.children_sum",
     "J12": "operators.money.rolling_four_quarters", "J13": "operators.roster.place", "J14": "operators.crosswalk.match_units", "J15": "operators.crosswalk.contained_pairs, match_units",
     "J16": "operators.crosswalk.resolve_agency", "J17": "operators.crosswalk.keep_manual, split_residual, existing_only", "J18": "operators.crosswalk.match_units(fallback=True)",
-    "J19": "operators.hierarchy.nearest_value", "J20": "operators.hierarchy.closure, path_to_root", "J21": "operators.geo.locate", "J22": "operators.money.bucket_measures, fte_by_group",
+    "J19": "operators.hierarchy.nearest_value", "J20": "operators.hierarchy.closure, path_to_root, endless", "J21": "operators.geo.locate", "J22": "operators.money.bucket_measures, fte_by_group",
     "J23": "operators.money.nearest_month, overview",
     "A1": "operators.facts.fact_rollup", "A2": "operators.facts.conditional_sums, employment_measures, action_measures", "A3": "operators.facts.by_dimensions", "A4": "operators.facts.most_frequent",
     "A5": "operators.facts.distinct_codes", "A6": "operators.facts.headcount_by_month, headcount_map", "A7": "operators.facts.resolve_duplicates", "A8": "operators.hierarchy.roll_up",
@@ -66,7 +66,7 @@ CODE = {
     "Q17": "operators.checks.flow_parts", "Q18": "operators.geo.distribution against facts", "Q19": "operators.checks.unknown_weight", "Q20": "operators.roster.leaked_columns", "Q21": "operators.crosswalk.match_quality",
     "Q22": "operators.checks.more_than_one_group", "Q23": "operators.checks.entities_left",
     "D1": "operators.evaluate.components", "D2": "operators.evaluate.evaluate", "D3": "operators.evaluate.evaluate", "D4": "operators.evaluate.evaluate", "D5": "operators.evaluate.carry_forward", "D6": "operators.evaluate.coarsen",
-    "D7": "operators.evaluate.components (no rows)", "D8": "operators.evaluate.trim", "D9": "operators.evaluate.evaluate", "D10": "operators.evaluate.evaluate_all", "D11": "operators.evaluate.levels, evaluate_all",
+    "D7": "operators.evaluate.components (no rows)", "D8": "operators.evaluate.trim", "D9": "operators.evaluate.evaluate", "D10": "operators.evaluate.evaluate_all, plans.changes.update_values", "D11": "operators.evaluate.levels, evaluate_all",
 }
 
 
