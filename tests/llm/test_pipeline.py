@@ -57,7 +57,7 @@ def test_stages_match_brute_force(spark, tables):
 
 def test_registered():
     assert list(entry.queries())[-1] == "pipeline" and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
 
 
