@@ -209,3 +209,8 @@ WORKFORCE_ONLY_COLUMNS = ("age_bracket", "length_of_service", "grade", "pay_band
 
 # Particles kept lower case inside personal names.
 SURNAME_PARTICLES = ("de", "del", "della", "der", "di", "du", "la", "le", "van", "von", "y")
+
+# Published names of nodes that no current file knows; %s is the code.
+HISTORICAL_AGENCY = "Agency %s (historical; not in current OPM files)"
+HISTORICAL_UNIT = "%s (historical sub-element; name not in current OPM files)"
+UNRECORDED_UNIT = "Unrecorded sub-element (%s)"

@@ -175,10 +175,10 @@ def historical_nodes(spans: DataFrame, nodes: DataFrame, found_names: DataFrame)
     every = unknown.unionByName(parents).join(found_names.withColumnRenamed("code", "node"), "node", "left")
     code, is_agency = F.col("node"), F.length("node") == 2
     placeholder = (
-        F.when(is_agency, F.concat(F.lit("Agency "), code, F.lit(" (historical; not in current OPM files)")))
-        .when(F.upper(F.trim("name")).isin(*fixed.INVALID_NAMES), F.concat(F.lit("Unrecorded sub-element ("), code, F.lit(")")))
+        F.when(is_agency, F.format_string(fixed.HISTORICAL_AGENCY, code))
+        .when(F.upper(F.trim("name")).isin(*fixed.INVALID_NAMES), F.format_string(fixed.UNRECORDED_UNIT, code))
         .when(F.col("name").isNotNull(), names.title("name"))
-        .otherwise(F.concat(code, F.lit(" (historical sub-element; name not in current OPM files)")))
+        .otherwise(F.format_string(fixed.HISTORICAL_UNIT, code))
     )
     return every.select(
         code.alias("code"),
