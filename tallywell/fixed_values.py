@@ -187,6 +187,8 @@ MOVER_WINDOWS = {"3": 3, "12": 12, "60": 60, "all": None}
 CHANGE_WINDOWS = {"12": 12, "60": 60}
 MIN_TREND_HEADCOUNT = 500
 TREND_TOP, NOW_TOP, MIX_TOP = 8, 14, 25
+TREND_MONTHS = 72
+TREND_DIMS = ("grade", "age_bracket", "supervisory", "appointment_type", "work_schedule", "pay_band")
 PLACES_TOP = 15
 CHILDREN_TOP = 20
 SMALL_UNIT_HEADS = 1000

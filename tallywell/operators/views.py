@@ -231,13 +231,13 @@ def flows_wide(values: DataFrame, node: str | None, up: Sequence[str], down: Seq
 # --- packed series ------------------------------------------------------------------------------------------------
 
 
-def pack(values: DataFrame, keys: Sequence[str] = ("node", "measure")) -> DataFrame:
-    """Series as arrays against the shared axis of their period type: {t, i, v, n, z}.
+def pack(values: DataFrame, keys: Sequence[str] = ("node", "measure"), axes: DataFrame | None = None) -> DataFrame:
+    """Series as arrays against the shared axis of their period type: {t, i, v, n, z}. The axis is that of `axes`, if given.
 
     A series holds at most one point per period, so the arrays are bounded by the calendar. Gaps are null; n is
     null unless some point has a count; z maps positions to notations.
     """
-    positions = periods.axis(values).select("period_type", F.posexplode("axis").alias("pos", "period_start"))
+    positions = periods.axis(values if axes is None else axes).select("period_type", F.posexplode("axis").alias("pos", "period_start"))
     points = values.filter(F.col("value").isNotNull()).join(F.broadcast(positions), ["period_type", "period_start"])
     point = F.struct("pos", clean.display_round("value").alias("value"), "n", "notation")
     gathered = points.groupBy(*keys, "period_type").agg(F.array_sort(F.collect_list(point)).alias("points"))

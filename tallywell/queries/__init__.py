@@ -3,6 +3,7 @@
 from tallywell.queries import (  # noqa: F401
     checking,
     deriving,
+    documenting,
     gathering,
     locating,
     matching,

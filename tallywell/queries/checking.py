@@ -131,7 +131,7 @@ def flow_parts_against_total(spark: SparkSession, folder: str) -> DataFrame:
     return checks.flow_parts(gathering.stored_extracts(spark, folder), "separations", ["quits", "retirements", "rifs", "transfers_out", "deferred_resignations"])
 
 
-@query("Q20", f"""WITH {rostering._COLLAPSED}, named AS (SELECT title FROM pos WHERE status = 'Filled' AND (first_name <> '' OR last_name <> ''))
+@query("Q20", f"""WITH {rostering.COLLAPSED_SQL}, named AS (SELECT title FROM pos WHERE status = 'Filled' AND (first_name <> '' OR last_name <> ''))
 SELECT 'directory' AS output, count(*) AS documents, 0 AS leaking FROM named
 UNION ALL SELECT 'joined', count(*), count(*) FILTER (title = 'Director') FROM named""")
 def leaked_attributes(spark: SparkSession, folder: str) -> DataFrame:

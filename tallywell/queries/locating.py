@@ -20,11 +20,12 @@ _STATIONS = {
 _STATIONS_SQL = "stations AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _STATIONS.items()) + " FROM part GROUP BY 1)"
 _BUCKET = """CASE WHEN f.duty_station_code = 'NDS' THEN 'nds' WHEN s.code IS NULL THEN 'invalid' WHEN s.name = 'Not disclosed' THEN 'nds' WHEN s.cc <> '' AND s.cc <> 'US' THEN 'abroad'
   WHEN regexp_full_match(s.fips, '\\d{5}') AND s.st <> '' AND s.st <> '*' THEN 'county' WHEN s.cc = 'US' AND s.name <> '' AND s.name <> 'INVALID' THEN 'territory' ELSE 'invalid' END"""
-_LOCATED = f"""{gathering.EMPLOYMENT_FACTS_SQL}, {_STATIONS_SQL},
+PLACES_SQL = f"""{_STATIONS_SQL},
 located AS (SELECT f.org_code, f.duty_station_code, f.n, {_BUCKET} AS bucket, s.fips, s.st FROM facts f LEFT JOIN stations s ON s.code = f.duty_station_code),
 dept AS (SELECT lpad(cast(n_nationkey AS VARCHAR), 2, '0') AS a, cast(n_regionkey AS VARCHAR) AS d FROM nation),
 spread AS (SELECT 'gov' AS node, * FROM located UNION ALL SELECT substr(org_code, 1, 2), * FROM located UNION ALL SELECT 'D:' || d.d, l.* FROM located l JOIN dept d ON d.a = substr(l.org_code, 1, 2)),
 dist AS (SELECT node, bucket, CASE WHEN bucket = 'county' THEN fips END AS county, CASE WHEN bucket = 'county' THEN st END AS state, cast(sum(n) AS BIGINT) AS n FROM spread GROUP BY 1, 2, 3, 4)"""
+_LOCATED = f"{gathering.EMPLOYMENT_FACTS_SQL}, {PLACES_SQL}"
 
 
 def _stations(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +38,7 @@ def _located(spark: SparkSession, folder: str) -> DataFrame:
     return geo.locate(geo.station_counts(gathering.employment_facts(spark, folder)), _stations(spark, folder))
 
 
-def _distribution(spark: SparkSession, folder: str) -> DataFrame:
+def distribution(spark: SparkSession, folder: str) -> DataFrame:
     dept = table(spark, folder, "nation").selectExpr("lpad(n_nationkey, 2, '0') AS agency", "cast(n_regionkey AS string) AS dept")
     placed = _located(spark, folder).withColumn("agency", F.substring("org_code", 1, 2)).join(dept, "agency", "left")
     return geo.distribution(placed, geo.node_targets(F.col("agency"), F.col("dept")))
@@ -50,21 +51,21 @@ def location_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("A28 J21", f"WITH {_LOCATED} SELECT * FROM dist")
 def geographic_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return _distribution(spark, folder)
+    return distribution(spark, folder)
 
 
 @query("A28", f"""WITH {_LOCATED} SELECT node, cast(sum(n) AS BIGINT) AS n, cast(sum(CASE WHEN bucket IN ('county', 'abroad', 'territory') THEN n ELSE 0 END) AS BIGINT) AS disclosed,
   round_even(sum(CASE WHEN bucket IN ('county', 'abroad', 'territory') THEN n ELSE 0 END) / sum(n), 4) AS disclosed_share, cast(sum(CASE WHEN bucket = 'abroad' THEN n ELSE 0 END) AS BIGINT) AS abroad,
   cast(sum(CASE WHEN bucket = 'territory' THEN n ELSE 0 END) AS BIGINT) AS territory, cast(sum(CASE WHEN bucket = 'invalid' THEN n ELSE 0 END) AS BIGINT) AS invalid FROM dist GROUP BY 1""")
 def location_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return geo.node_summary(_distribution(spark, folder))
+    return geo.node_summary(distribution(spark, folder))
 
 
 @query("A28 M7", f"""WITH {_LOCATED} SELECT node, 'counties' AS map, county AS place, cast(sum(n) AS BIGINT) AS n FROM dist WHERE bucket = 'county' GROUP BY 1, 3
 UNION ALL SELECT node, 'states', state, cast(sum(n) AS BIGINT) FROM dist WHERE bucket = 'county' GROUP BY 1, 3""")
 def location_maps(spark: SparkSession, folder: str) -> DataFrame:
     """The county and state maps of every node, entry by entry."""
-    maps = geo.node_maps(_distribution(spark, folder))
+    maps = geo.node_maps(distribution(spark, folder))
     entries = [maps.select("node", F.lit(name).alias("map"), F.explode(name).alias("place", "n")) for name in ("counties", "states")]
     return entries[0].unionByName(entries[1])
 
@@ -74,7 +75,7 @@ heads AS (SELECT 'gov' AS node, sum(n) AS n FROM facts UNION ALL SELECT substr(o
 SELECT h.node, cast(h.n AS BIGINT) AS headcount, cast(p.n AS BIGINT) AS located, h.n = p.n AS equal FROM heads h LEFT JOIN parts p ON p.node = h.node""")
 def locations_add_up(spark: SparkSession, folder: str) -> DataFrame:
     """Classes partition the headcount of every node, counted by two routes."""
-    located = _distribution(spark, folder).groupBy("node").agg(F.sum("n").alias("located"))
+    located = distribution(spark, folder).groupBy("node").agg(F.sum("n").alias("located"))
     monthly = gathering.employment_facts(spark, folder)
     heads = monthly.select(F.explode(F.array(F.lit("gov"), F.substring("org_code", 1, 2))).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("headcount"))
     return heads.join(located, "node", "left").withColumn("equal", F.col("headcount") == F.col("located"))

@@ -24,10 +24,10 @@ _SIGHTING = {
     "begin_date": "CASE WHEN event_type = 'view' THEN NULL ELSE cast(concat('20', cast(10 + user_id % 14 as string), '-0', cast(1 + length(event_type) % 9 as string), '-01') as date) END",
 }
 _COLUMNS = [c for c in _SIGHTING if c != "snapshot"]
-_COLLAPSED = f"""{standin.cte("sightings", _SIGHTING, "events")},
+COLLAPSED_SQL = f"""{standin.cte("sightings", _SIGHTING, "events")},
 pos AS (SELECT {", ".join(_COLUMNS)}, min(snapshot) AS first_snapshot, max(snapshot) AS last_snapshot FROM sightings GROUP BY ALL),
 xw AS (SELECT DISTINCT agency_name, org_name, 'A' || right(agency_name, 1) || replace(org_name, 'ORG ', '') AS node, 'A' || right(agency_name, 1) AS agency FROM sightings WHERE org_name <> 'ORG 7')"""
-_FULL_NAME = "nullif(concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')), '')"
+FULL_NAME_SQL = "nullif(concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')), '')"
 
 
 def _sightings(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,12 +44,12 @@ def _crosswalk(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("agency_name", "org_name", F.concat(agency, F.element_at(F.split("org_name", " "), -1)).alias("node"), agency.alias("agency"))
 
 
-@query("A19", f"WITH {_COLLAPSED} SELECT * FROM pos")
+@query("A19", f"WITH {COLLAPSED_SQL} SELECT * FROM pos")
 def collapsed_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return _positions(spark, folder)
 
 
-@query("A19", f"WITH {_COLLAPSED} SELECT * FROM pos")
+@query("A19", f"WITH {COLLAPSED_SQL} SELECT * FROM pos")
 def carried_history(spark: SparkSession, folder: str) -> DataFrame:
     """An earlier collapsed history and later snapshots collapse to the same spans as all snapshots at once."""
     sightings = _sightings(spark, folder)
@@ -63,13 +63,13 @@ _COUNTS = """count(*) AS plum_positions, cast(sum((status = 'Filled')::INTEGER)
   cast(sum((status = 'Filled' AND appointment_type NOT IN ('PAS','PA','SC','NA','TA'))::INTEGER) AS BIGINT) AS plum_career"""
 
 
-@query("A20 J13", f"""WITH {_COLLAPSED} SELECT x.agency, p.last_snapshot AS snapshot, {_COUNTS}
+@query("A20 J13", f"""WITH {COLLAPSED_SQL} SELECT x.agency, p.last_snapshot AS snapshot, {_COUNTS}
 FROM pos p JOIN xw x ON x.agency_name = p.agency_name AND x.org_name = p.org_name WHERE status <> 'Historical' GROUP BY 1, 2""")
 def status_counts_at_last_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return roster.status_counts(roster.place(_positions(spark, folder), _crosswalk(spark, folder)))
 
 
-@query("A20 J13", f"""WITH {_COLLAPSED}, s AS (SELECT DISTINCT snapshot FROM sightings)
+@query("A20 J13", f"""WITH {COLLAPSED_SQL}, s AS (SELECT DISTINCT snapshot FROM sightings)
 SELECT x.agency, s.snapshot, {_COUNTS} FROM pos p JOIN xw x ON x.agency_name = p.agency_name AND x.org_name = p.org_name
 JOIN s ON s.snapshot BETWEEN p.first_snapshot AND p.last_snapshot WHERE status <> 'Historical' GROUP BY 1, 2""")
 def status_counts_at_every_snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +78,7 @@ def status_counts_at_every_snapshot(spark: SparkSession, folder: str) -> DataFra
     return roster.status_counts(placed, _sightings(spark, folder).select("snapshot").distinct())
 
 
-@query("A20 M3", f"""WITH {_COLLAPSED}, c AS (SELECT x.agency, p.last_snapshot AS snapshot, {_COUNTS}
+@query("A20 M3", f"""WITH {COLLAPSED_SQL}, c AS (SELECT x.agency, p.last_snapshot AS snapshot, {_COUNTS}
 FROM pos p JOIN xw x ON x.agency_name = p.agency_name AND x.org_name = p.org_name WHERE status <> 'Historical' GROUP BY 1, 2),
 l AS (UNPIVOT c ON plum_positions, plum_filled, plum_vacant, plum_political, plum_career INTO NAME measure VALUE value)
 SELECT measure, agency AS node, cast(date_trunc('month', snapshot) AS DATE) AS period_start, cast(value AS DOUBLE) AS value, 'plum:' || cast(snapshot AS VARCHAR) AS source_ref FROM l""")
@@ -87,33 +87,37 @@ def roster_measures(spark: SparkSession, folder: str) -> DataFrame:
     return roster.status_values(counts).select("measure", "node", "period_start", "value", "source_ref")
 
 
-_RANK = """CASE WHEN upper(title) LIKE 'SECRETARY%' OR upper(title) LIKE 'ATTORNEY GENERAL%' OR upper(title) = 'ADMINISTRATOR' OR (upper(title) = 'DIRECTOR' AND appointment_type = 'PAS') THEN 0
+RANK_SQL = """CASE WHEN upper(title) LIKE 'SECRETARY%' OR upper(title) LIKE 'ATTORNEY GENERAL%' OR upper(title) = 'ADMINISTRATOR' OR (upper(title) = 'DIRECTOR' AND appointment_type = 'PAS') THEN 0
   WHEN upper(title) LIKE 'DEPUTY SECRETARY%' OR upper(title) LIKE 'DEPUTY ATTORNEY GENERAL%' OR upper(title) LIKE 'DEPUTY ADMINISTRATOR%' THEN 1
   WHEN upper(title) LIKE 'UNDER SECRETARY%' OR upper(title) LIKE 'ASSOCIATE ATTORNEY GENERAL%' THEN 2
   WHEN upper(title) LIKE 'ASSISTANT SECRETARY%' OR upper(title) LIKE 'GENERAL COUNSEL%' OR upper(title) LIKE 'INSPECTOR GENERAL%' OR upper(title) LIKE 'CHIEF%' THEN 3
   WHEN appointment_type = 'PAS' THEN 4 WHEN appointment_type IN ('PA', 'NA') THEN 5 ELSE 6 END"""
 
 
-@query("A36 P35 P33 K3", f"""WITH {_COLLAPSED} SELECT x.node, cast({_RANK} AS INTEGER) AS rank, title, status, appointment_type, {_FULL_NAME} AS name, individual_id, begin_date
+def current_roster(spark: SparkSession, folder: str) -> DataFrame:
+    positions = _positions(spark, folder).withColumn("level_grade_pay", F.lit(None).cast("string"))
+    return roster.roster(roster.place(positions, _crosswalk(spark, folder)))
+
+
+@query("A36 P35 P33 K3", f"""WITH {COLLAPSED_SQL} SELECT x.node, cast({RANK_SQL} AS INTEGER) AS rank, title, status, appointment_type, {FULL_NAME_SQL} AS name, individual_id, begin_date
 FROM pos p JOIN xw x ON x.agency_name = p.agency_name AND x.org_name = p.org_name WHERE status <> 'Historical'""")
 def rosters(spark: SparkSession, folder: str) -> DataFrame:
     """Positions of each node from the head down, as a distributed sort."""
-    positions = _positions(spark, folder).withColumn("level_grade_pay", F.lit(None).cast("string"))
-    return roster.roster(roster.place(positions, _crosswalk(spark, folder))).select(
+    return current_roster(spark, folder).select(
         "node", "rank", "title", "status", "appointment_type", "name", "individual_id", "begin_date")
 
 
-@query("A37 J13 P33", f"""WITH {_COLLAPSED}, named AS (SELECT agency_name, org_name, title, status, appointment_type, nullif(first_name, '') AS first_name, nullif(last_name, '') AS last_name, individual_id, begin_date FROM pos)
-SELECT {_FULL_NAME} AS name, individual_id, title, p.agency_name, p.org_name, x.node FROM named p LEFT JOIN xw x ON x.agency_name = p.agency_name AND x.org_name = p.org_name
+@query("A37 J13 P33", f"""WITH {COLLAPSED_SQL}, named AS (SELECT agency_name, org_name, title, status, appointment_type, nullif(first_name, '') AS first_name, nullif(last_name, '') AS last_name, individual_id, begin_date FROM pos)
+SELECT {FULL_NAME_SQL} AS name, individual_id, title, p.agency_name, p.org_name, x.node FROM named p LEFT JOIN xw x ON x.agency_name = p.agency_name AND x.org_name = p.org_name
 WHERE status = 'Filled' AND (first_name IS NOT NULL OR last_name IS NOT NULL)""")
 def people_directory(spark: SparkSession, folder: str) -> DataFrame:
     return roster.directory(_positions(spark, folder), _crosswalk(spark, folder)).select(
         "name", "individual_id", "title", "agency_name", "org_name", "node")
 
 
-@query("A38", f"""WITH {_COLLAPSED}, n AS (SELECT *, row_number() OVER (PARTITION BY individual_id ORDER BY begin_date NULLS FIRST, title, agency_name, org_name, status) AS seq,
+@query("A38", f"""WITH {COLLAPSED_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY individual_id ORDER BY begin_date NULLS FIRST, title, agency_name, org_name, status) AS seq,
   count(*) OVER (PARTITION BY individual_id) AS held FROM pos WHERE individual_id IS NOT NULL)
-SELECT individual_id, {_FULL_NAME} AS name, seq, title, status, begin_date FROM n WHERE held > 1""")
+SELECT individual_id, {FULL_NAME_SQL} AS name, seq, title, status, begin_date FROM n WHERE held > 1""")
 def career_timelines(spark: SparkSession, folder: str) -> DataFrame:
     """Positions of people with more than one, numbered in order without sorting a whole person in one task."""
     positions = _positions(spark, folder).withColumn("vacate_date", F.lit(None).cast("date")).withColumn("level_grade_pay", F.lit(None).cast("string"))
@@ -130,7 +134,7 @@ def numbered_events(spark: SparkSession, folder: str) -> DataFrame:
 _LABELS = "CASE appointment_type WHEN 'PAS' THEN 'Presidential appointment with Senate confirmation' WHEN 'PA' THEN 'Presidential appointment' WHEN 'SC' THEN 'Schedule C' WHEN 'NA' THEN 'Noncareer SES' WHEN 'CA' THEN 'Career' ELSE appointment_type END"
 
 
-@query("P22", f"""WITH {_COLLAPSED} SELECT DISTINCT appointment_type, {_LABELS} AS appointment_label,
+@query("P22", f"""WITH {COLLAPSED_SQL} SELECT DISTINCT appointment_type, {_LABELS} AS appointment_label,
   CASE WHEN appointment_type IN ('PAS','PA','SC','NA','TA') THEN 'political' ELSE 'career' END AS appointment_class FROM pos""")
 def appointment_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return roster.with_appointment(_positions(spark, folder)).select("appointment_type", "appointment_label", "appointment_class").distinct()

@@ -20,7 +20,7 @@ CODE = {
     "S8": "sources.tables.group_members, agency_departments", "S9": "operators.money.year_block", "S10": "sources.tables.html_rows",
     "S11": "sources.records.file_parts, snapshot_of, with_file", "S12": "sources.records.list_files, current_files, read_current_eras",
     "S13": "sources.records.missing_files, streaming.ingest.load_new_files, sources.manifest.committed, plans.changes.update_values", "S14": "sources.tables.read_node",
-    "K1": "sources.sinks.write_parquet, write_facts", "K2": "sources.sinks.sorted_by_node, write_values", "K3": "operators.views.node_documents, sources.sinks.write_node_documents, write_sorted_lines",
+    "K1": "sources.sinks.write_parquet, write_facts", "K2": "sources.sinks.sorted_by_node, write_values", "K3": "operators.documents.assemble, write, read; operators.views.node_documents",
     "K4": "sources.sinks.write_sorted_lines", "K5": "sources.manifest.commit, sources.sinks.observed, record_run; operators.facts.table_stats", "K6": "operators.checks.report, report_counts",
     "P1": "functions.clean.redacted_to_undisclosed", "P2": "functions.clean.unit_code", "P3": "functions.clean.pay_band", "P4": "functions.clean.age_floor",
     "P5": "functions.clean.disclosed_pay, service_years", "P6": "functions.clean.multiplicity", "P7": "functions.clean.dim_value", "P8": "functions.clean.prefix_key",
@@ -59,7 +59,7 @@ CODE = {
     "T5": "operators.views.largest", "T6": "operators.hierarchy.fold_children", "T7": "operators.money.overview",
     "U1": "unionByName throughout", "U2": "plans.registry.Sources.others, base_values", "U4": "operators.money.rolling_four_quarters", "U5": "operators.crosswalk.covering_months, uncovered",
     "M1": "operators.views.pack", "M2": "operators.views.unpack", "M3": "operators.facts.wide_to_long", "M4": "operators.views.flows_wide", "M5": "literal_table, explode", "M6": "operators.evaluate.carry_forward",
-    "M7": "operators.views.node_documents, operators.geo.node_maps", "M8": "sources.sinks.document_lines", "M9": "operators.hierarchy.children_arrays",
+    "M7": "operators.documents, operators.views.node_documents, operators.geo.node_maps", "M8": "sources.sinks.document_lines", "M9": "operators.hierarchy.children_arrays",
     "Q1": "operators.checks.header_drift, require_header", "Q2": "operators.facts.require", "Q3": "operators.facts.available", "Q5": "operators.checks.unknown_measures", "Q6": "operators.checks.enough_inputs, guard_inputs",
     "Q7": "operators.checks.broken_dependency", "Q8": "operators.checks.orphans", "Q9": "operators.checks.conservation", "Q10": "operators.checks.consistency, self_consistent", "Q11": "operators.checks.children_sum",
     "Q12": "operators.checks.fte_against_headcount", "Q13": "operators.checks.positions_per_thousand", "Q14": "operators.checks.pay_per_head", "Q15": "operators.checks.response_share", "Q16": "operators.checks.explain",
