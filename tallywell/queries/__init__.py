@@ -7,6 +7,7 @@ from tallywell.queries import (  # noqa: F401
     gathering,
     locating,
     matching,
+    publishing,
     rostering,
     spending,
     surveying,
