@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -96,35 +97,108 @@ def test_rows_without_id_are_packed(spark):
     assert sorted(str(x) for row in found for x in row["doc_ids"]) == ["1", "None", "None"]
 
 
-def plain_fit(sizes, capacities, price):
-    opened, rest = [], sum(sizes)
+def plain_plan(sizes, plan, capacities, price):
+    """One plan, with lists alone: pieces to come are walked from the longest."""
+    opened = []
+
+    def at_length(ids):
+        return min(c for c in capacities if c >= ids)
+
     for i, size in enumerate(sizes):
-        rest -= size
         fitting = [b for b in opened if b[0] >= size]
         if fitting:
             best = min(fitting, key=lambda b: b[0])
         else:
-            room = min((c for c in capacities if c >= size), key=lambda c: (price(c) / min(c, size + rest), c))
-            best = [room, [], 0]
+            trials = []
+            for c in plan:
+                if c >= size:
+                    used = size
+                    for other in sizes[i + 1 :]:
+                        used += other if used + other <= c else 0
+                    trials.append((price(at_length(used)) / used, c))
+            best = [min(trials)[1], [], 0]
             opened.append(best)
         best[0] -= size
         best[1].append(i)
         best[2] += size
-    return [(min(c for c in capacities if c >= used), members) for _, members, used in opened]
+    return [(at_length(used), members) for _, members, used in opened]
+
 
+def cost_of(packed):
+    return sum(variable_packing.cost(c) for c, _ in packed)
 
-def test_variable_fit_equals_a_plain_search():
+
+def test_a_plan_equals_a_plain_search():
     r = random.Random(4)
     for _ in range(40):
         sizes = sorted((r.randrange(1, 129) for _ in range(r.randrange(1, 150))), reverse=True)
-        assert variable_packing.fit(sizes, (16, 32, 64, 128)) == plain_fit(sizes, (16, 32, 64, 128), variable_packing.cost)
+        for plan in ((16, 32, 64, 128), (32, 128), (128,)):
+            assert variable_packing.packed_by(sizes, plan, (16, 32, 64, 128)) == plain_plan(sizes, plan, (16, 32, 64, 128), variable_packing.cost)
 
 
-def test_variable_fit_is_cheaper_than_one_length():
+def test_search_over_plans():
+    """Never above any plan of one capacity more or less, the full one, or the longest alone; mostly the best of all plans."""
+    r, best = random.Random(8), 0
+    capacities = (16, 32, 64, 128)
+    for _ in range(40):
+        sizes = sorted((min(128, int(r.lognormvariate(3, 1)) + 1) for _ in range(r.randrange(1, 200))), reverse=True)
+        costs = {plan: cost_of(variable_packing.packed_by(sizes, plan, capacities))
+                 for k in range(1, 5) for plan in itertools.combinations(capacities, k) if plan[-1] >= sizes[0]}
+        found = cost_of(variable_packing.fit(sizes, capacities))
+        assert found in costs.values() and found <= min(costs[capacities], costs[(128,)])
+        best += found == min(costs.values())
+    assert best >= 36
+
+
+def cheapest(sizes, capacities):
+    """Least cost of all ways to group the pieces."""
+    if not sizes:
+        return 0.0
+    out = float("inf")
+    rest = sizes[1:]
+    for k in range(len(rest) + 1):
+        for others in itertools.combinations(range(len(rest)), k):
+            used = sizes[0] + sum(rest[i] for i in others)
+            if used <= capacities[-1]:
+                price = variable_packing.cost(min(c for c in capacities if c >= used))
+                out = min(out, price + cheapest([s for i, s in enumerate(rest) if i not in others], capacities))
+    return out
+
+
+def test_variable_fit_beside_every_grouping():
+    r = random.Random(9)
+    ratios = []
+    for _ in range(60):
+        sizes = sorted((r.randrange(1, 1200) for _ in range(r.randrange(1, 8))), reverse=True)
+        ratios.append(cost_of(variable_packing.fit(sizes, (256, 512, 1024, 2048))) / cheapest(sizes, (256, 512, 1024, 2048)))
+    assert min(ratios) >= 1 - 1e-9
+    assert sum(ratios) / len(ratios) < 1.05 and max(ratios) < 1.35
+
+
+def test_variable_fit_is_cheaper_than_any_one_length():
     r = random.Random(6)
-    sizes = sorted((min(8192, int(r.lognormvariate(6, 1.2)) + 1) for _ in range(3000)), reverse=True)
-    joint = sum(variable_packing.cost(c) for c, _ in variable_packing.fit(sizes, variable_packing.CAPACITIES))
-    assert joint < variable_packing.cost(8192) * len(packing.best_fit(sizes, 8192))
+    for mean in (5, 6, 7):
+        sizes = sorted((min(8192, int(r.lognormvariate(mean, 1.2)) + 1) for _ in range(3000)), reverse=True)
+        joint = cost_of(variable_packing.fit(sizes, variable_packing.CAPACITIES))
+        assert joint < variable_packing.cost(8192) * len(packing.best_fit(sizes, 8192))
+        for c in variable_packing.CAPACITIES:
+            assert joint < cost_of(variable_packing.packed_by(sizes, sorted({c, 8192}), variable_packing.CAPACITIES))
+
+
+def test_variable_packing_of_ids(spark):
+    rows = list({i: t for i, t in odd_rows(5) if i is not None}.items())
+    found = variable_packing.pack(rows_to_docs(spark, rows), (32, 64, 128), ids=True).collect()
+    texts = {}
+    for row in found:
+        ids = np.frombuffer(row["input_ids"], "<u2")
+        assert len(ids) == row["capacity"] and (ids[row["used"] :] == tokens.END_ID).all()
+        at = 0
+        for owner, piece, n in zip(row["doc_ids"], row["pieces"], row["lengths"]):
+            texts.setdefault(owner, []).append((piece, ids[at : at + n]))
+            at += n
+    made = {i: np.concatenate([p for _, p in sorted(parts, key=lambda x: x[0])]) for i, parts in texts.items()}
+    wanted = {i: np.append(tokens.encode(t), tokens.END_ID) for i, t in rows if t}
+    assert made.keys() == wanted.keys() and all((made[i] == wanted[i]).all() for i in made)
 
 
 def test_variable_packing_holds_every_document(spark):
