@@ -125,11 +125,3 @@ def scaled(value: Column | str, unit: Column | str) -> Column:
     for name, scale in fixed.UNIT_SCALE.items():
         factor = F.when(unit == name, scale).otherwise(factor)
     return _col(value) * factor
-
-
-def estimate_notation(kind: Column | str) -> Column:
-    return F.when(_col(kind) == fixed.ESTIMATE, fixed.ESTIMATE)
-
-
-def first_notation(*notes: Column | str, default: str | None = None) -> Column:
-    return F.coalesce(*[_col(n) for n in notes], F.lit(default))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
-from tallywell.functions import names
+from tallywell.functions import clean, names
 from tallywell.operators import facts
 from tallywell.schema import KEY_COLUMNS, as_values, notation_name, notation_rank
 from tallywell.session import cut_lineage, literal_table, materialise
@@ -32,7 +32,7 @@ def _totals(df: DataFrame) -> DataFrame:
 
 def roll_up_numbered(leaf: DataFrame, agency_department: DataFrame, agency_of: Column | None = None) -> DataFrame:
     """`roll_up` over rows that carry source numbers."""
-    agency_of = F.substring("node", 1, 2) if agency_of is None else agency_of
+    agency_of = clean.prefix_key("node") if agency_of is None else agency_of
     flat_rows = leaf.filter(F.col("dim").isNull())
     dimensioned = leaf.filter(F.col("dim").isNotNull())
     agencies = _totals(flat_rows.withColumn("node", agency_of)).unionByName(dimensioned.select(*leaf.columns))
@@ -167,7 +167,7 @@ def historical_nodes(spans: DataFrame, nodes: DataFrame, found_names: DataFrame)
     unknown = spans.join(nodes.select(F.col("code").alias("node")), "node", "left_anti")
     parents = (
         unknown.filter(F.length("node") == 4)
-        .groupBy(F.substring("node", 1, 2).alias("node"))
+        .groupBy(clean.prefix_key("node").alias("node"))
         .agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
         .join(nodes.select(F.col("code").alias("node")), "node", "left_anti")
         .join(unknown.select("node"), "node", "left_anti")
@@ -184,7 +184,7 @@ def historical_nodes(spans: DataFrame, nodes: DataFrame, found_names: DataFrame)
         code.alias("code"),
         F.when(is_agency, "agency").otherwise("subelement").alias("kind"),
         placeholder.alias("name"),
-        F.when(is_agency, ROOT).otherwise(F.substring(code, 1, 2)).alias("parent"),
+        F.when(is_agency, ROOT).otherwise(clean.prefix_key(code)).alias("parent"),
         F.date_format("first_seen", "yyyyMM").alias("first_seen"),
         F.date_format("last_seen", "yyyyMM").alias("last_seen"),
     )

@@ -225,6 +225,33 @@ def organisation_tree(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.org_tree(_supplier_nodes(spark, folder), _monthly(spark, folder)).drop("name")
 
 
+@query("T4 A39", f"""WITH {_TREE_SQL}, {_LATEST_SQL},
+every AS (SELECT * FROM latest UNION ALL SELECT * FROM agencies
+  UNION ALL SELECT n.parent, a.yyyymm, sum(a.headcount) FROM agencies a JOIN nodes n ON n.code = a.code GROUP BY 1, 2)
+SELECT n.parent, n.code, cast(coalesce(e.headcount, 0) AS BIGINT) AS latest FROM nodes n
+LEFT JOIN every e ON e.code = n.code AND e.yyyymm = (SELECT max(yyyymm) FROM agencies) WHERE n.parent IS NOT NULL ORDER BY 1, 3 DESC, 2""")
+def children_by_headcount(spark: SparkSession, folder: str) -> DataFrame:
+    """All children under their parents, largest first."""
+    return hierarchy.ordered_children(hierarchy.org_tree(_supplier_nodes(spark, folder), _monthly(spark, folder)))
+
+
+@query("P40 A27", f"""WITH {_LATEST_SQL.split("agencies AS")[0].rstrip().rstrip(",")}
+SELECT code, max(yyyymm) AS last_seen, max(yyyymm) < (SELECT max(yyyymm) FROM latest) AS gone FROM latest GROUP BY code""")
+def units_gone(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers and whether the newest month is without them."""
+    monthly = _monthly(spark, folder).filter(F.col("code").startswith("S"))
+    seen = monthly.groupBy("code").agg(F.max("yyyymm").alias("last_seen"))
+    return hierarchy.gone(seen, monthly.select(F.max("yyyymm")).scalar())
+
+
+@query("S8 J6", """WITH multi AS (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(*) > 1)
+SELECT lpad(cast(n_nationkey AS VARCHAR), 2, '0') AS agency, 'D:' || cast(n_regionkey AS VARCHAR) AS dept FROM nation JOIN multi USING (n_regionkey)""")
+def agencies_of_departments(spark: SparkSession, folder: str) -> DataFrame:
+    """Agencies beside the department that is a node; one that is alone in its department stands under the whole."""
+    agencies = table(spark, folder, "nation").selectExpr("lpad(n_nationkey, 2, '0') AS code", "cast(n_regionkey AS string) AS department_code")
+    return tables.agency_departments(agencies, _supplier_nodes(spark, folder))
+
+
 @query("M9 T4", f"""WITH {_TREE_SQL}, {_LATEST_SQL},
 every AS (SELECT * FROM latest UNION ALL SELECT * FROM agencies
   UNION ALL SELECT n.parent, a.yyyymm, sum(a.headcount) FROM agencies a JOIN nodes n ON n.code = a.code GROUP BY 1, 2),

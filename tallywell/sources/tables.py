@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fixed
-from tallywell.functions import clean, names, periods
+from tallywell.functions import clean, entities, names, periods
 from tallywell.schema import as_values
 
 
@@ -60,9 +60,7 @@ def html_rows(
 
 def cell_text(cell: Column) -> Column:
     """Tags removed, entities decoded, blanks squeezed."""
-    text = F.regexp_replace(cell, "<[^>]+>", "")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
+    text = entities.decode(F.regexp_replace(cell, "<[^>]+>", ""))
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 

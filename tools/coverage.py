@@ -5,6 +5,7 @@ python tools/coverage.py
 
 from __future__ import annotations
 
+import ast
 import pathlib
 import re
 import sys
@@ -17,11 +18,11 @@ CODE = {
     "S1": "sources.records.read_eras, read_pipe_text", "S2": "sources.records.read_current", "S3": "sources.records.read_quoted_csv",
     "S4": "sources.records.read_tolerant_csv", "S5": "sources.records.read_parquet_union, union_by_name", "S6": "sources.records.read_json_lines",
     "S7a": "sources.tables.wide_survey", "S7b": "sources.tables.long_table", "S7c": "sources.tables.long_table", "S7d": "sources.tables.long_table",
-    "S8": "sources.tables.group_members, agency_departments", "S9": "operators.money.year_block", "S10": "sources.tables.html_rows",
+    "S8": "sources.tables.group_members, agency_departments", "S9": "operators.money.year_block", "S10": "sources.tables.html_rows, cell_text; functions.entities.decode",
     "S11": "sources.records.file_parts, snapshot_of, with_file", "S12": "sources.records.list_files, current_files, read_current_eras",
-    "S13": "sources.records.missing_files, streaming.ingest.load_new_files, sources.manifest.committed, plans.changes.update_values", "S14": "sources.tables.read_node",
-    "K1": "sources.sinks.write_parquet, write_facts", "K2": "sources.sinks.sorted_by_node, write_values", "K3": "operators.documents.assemble, write, read; operators.views.node_documents",
-    "K4": "sources.sinks.write_sorted_lines", "K5": "sources.manifest.commit, sources.sinks.observed, record_run; operators.facts.table_stats", "K6": "operators.checks.report, report_counts",
+    "S13": "sources.records.missing_files, streaming.ingest.load_new_files, sources.manifest.committed, plans.changes.update_values", "S14": "sources.tables.read_node, sources.shelves.node_rows",
+    "K1": "sources.sinks.write_parquet, write_facts", "K2": "sources.sinks.sorted_by_node, write_values; sources.shelves.store, stored, series_summary", "K3": "operators.documents.assemble, write, read; operators.views.node_documents",
+    "K4": "sources.published.publish, read", "K5": "sources.manifest.commit, sources.sinks.observed, record_run; operators.facts.table_stats", "K6": "operators.checks.report, report_counts",
     "P1": "functions.clean.redacted_to_undisclosed", "P2": "functions.clean.unit_code", "P3": "functions.clean.pay_band", "P4": "functions.clean.age_floor",
     "P5": "functions.clean.disclosed_pay, service_years", "P6": "functions.clean.multiplicity", "P7": "functions.clean.dim_value", "P8": "functions.clean.prefix_key",
     "P9": "functions.periods.is_month_code", "P10": "functions.classify.object_class", "P11": "functions.periods.month_start, month_code",
@@ -33,10 +34,10 @@ CODE = {
     "P30": "functions.clean.scaled", "P31": "functions.clean.display_round", "P32": "functions.clean.plain_number", "P33": "functions.clean.full_name",
     "P34": "functions.classify.location_class", "P35": "functions.classify.seniority", "P36": "operators.hierarchy.historical_nodes", "P37": "functions.classify.dim_label",
     "P38": "functions.classify.dim_order", "P40": "operators.hierarchy.gone, org_tree, fold_children", "P41": "functions.classify.money_reason",
-    "P42": "functions.clean.estimate_notation, first_notation; operators.evaluate.evaluate",
+    "P42": "sources.tables.long_table; operators.evaluate.evaluate",
     "J1": "operators.evaluate.evaluate", "J2": "operators.evaluate.evaluate (one grouping, no join)", "J3": "operators.evaluate.carry_forward", "J4": "left_semi joins, isin",
-    "J5": "left_anti joins; operators.checks.orphans", "J6": "operators.hierarchy.roll_up", "J7": "operators.hierarchy.signed_groups", "J8": "operators.views.movers (conditional aggregate)",
-    "J9": "DataFrame.scalar, e.g. operators.checks.conservation", "J10": "operators.checks.fte_against_headcount, response_share", "J11": "operators.checks.children_sum",
+    "J5": "left_anti joins; operators.checks.orphans", "J6": "operators.hierarchy.roll_up, roll_up_numbered", "J7": "operators.hierarchy.signed_groups", "J8": "operators.views.movers (conditional aggregate)",
+    "J9": "operators.checks.conservation (a scalar subquery)", "J10": "operators.checks.fte_against_headcount, response_share", "J11": "operators.checks.children_sum",
     "J12": "operators.money.rolling_four_quarters", "J13": "operators.roster.place", "J14": "operators.crosswalk.match_units", "J15": "operators.crosswalk.contained_pairs, match_units",
     "J16": "operators.crosswalk.resolve_agency", "J17": "operators.crosswalk.keep_manual, split_residual, existing_only", "J18": "operators.crosswalk.match_units(fallback=True)",
     "J19": "operators.hierarchy.nearest_value", "J20": "operators.hierarchy.closure, path_to_root, endless", "J21": "operators.geo.locate", "J22": "operators.money.bucket_measures, fte_by_group",
@@ -57,9 +58,9 @@ CODE = {
     "W11": "operators.views.flows_wide",
     "T1": "sources.sinks.write_facts (sorted inside partitions)", "T2": "operators.views.breakdown", "T3": "operators.views.sort_nulls_last", "T4": "operators.hierarchy.ordered_children, children_arrays",
     "T5": "operators.views.largest", "T6": "operators.hierarchy.fold_children", "T7": "operators.money.overview",
-    "U1": "unionByName throughout", "U2": "plans.registry.Sources.others, base_values", "U4": "operators.money.rolling_four_quarters", "U5": "operators.crosswalk.covering_months, uncovered",
+    "U1": "unionByName throughout", "U2": "plans.registry.Sources, base_values", "U4": "operators.money.rolling_four_quarters", "U5": "operators.crosswalk.covering_months, uncovered",
     "M1": "operators.views.pack", "M2": "operators.views.unpack", "M3": "operators.facts.wide_to_long", "M4": "operators.views.flows_wide", "M5": "literal_table, explode", "M6": "operators.evaluate.carry_forward",
-    "M7": "operators.documents, operators.views.node_documents, operators.geo.node_maps", "M8": "sources.sinks.document_lines", "M9": "operators.hierarchy.children_arrays",
+    "M7": "operators.documents, operators.views.node_documents, operators.geo.node_maps", "M8": "operators.checks.report", "M9": "operators.hierarchy.children_arrays",
     "Q1": "operators.checks.header_drift, require_header", "Q2": "operators.facts.require", "Q3": "operators.facts.available", "Q5": "operators.checks.unknown_measures", "Q6": "operators.checks.enough_inputs, guard_inputs",
     "Q7": "operators.checks.broken_dependency", "Q8": "operators.checks.orphans", "Q9": "operators.checks.conservation", "Q10": "operators.checks.consistency, self_consistent", "Q11": "operators.checks.children_sum",
     "Q12": "operators.checks.fte_against_headcount", "Q13": "operators.checks.positions_per_thousand", "Q14": "operators.checks.pay_per_head", "Q15": "operators.checks.response_share", "Q16": "operators.checks.explain",
@@ -70,9 +71,44 @@ CODE = {
 }
 
 
+def used_names() -> set[str]:
+    """Names that code of the package or its tests loads, the plain name of a function in its own body aside."""
+    out = set()
+    for path in [*(ROOT / "tallywell").rglob("*.py"), *(ROOT / "tests").glob("*.py")]:
+        for top in ast.parse(path.read_text()).body:
+            own = getattr(top, "name", None)
+            for node in ast.walk(top):
+                if isinstance(node, ast.Attribute):
+                    out.add(node.attr)
+                elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load) and node.id != own:
+                    out.add(node.id)
+    return out
+
+
+def unreached() -> list[str]:
+    """Functions that CODE names and that nothing in the package or its tests calls, or that do not exist."""
+    used, bad = used_names(), []
+    for row, code in CODE.items():
+        module = None
+        for word in re.findall(r"[A-Za-z_][A-Za-z_.]*", re.sub(r"\(.*?\)| throughout| against.*", "", code)):
+            if (ROOT / "tallywell" / (word.replace(".", "/") + ".py")).exists():
+                continue
+            if "." in word:
+                path, word = word.rsplit(".", 1)
+                module = ROOT / "tallywell" / (path.replace(".", "/") + ".py")
+            if module is None:
+                continue
+            if not module.exists() or not re.search(rf"^(def|class) {word}\b", module.read_text(), re.M) or word not in used:
+                bad.append(f"{row}: {module.stem}.{word}")
+    return bad
+
+
 def main() -> None:
     from tallywell.queries import REGISTRY
 
+    if bad := unreached():
+        sys.exit("named but not reached: " + ", ".join(bad))
+
     shown: dict[str, list[str]] = {}
     for item in REGISTRY.values():
         for row in item.covers:
