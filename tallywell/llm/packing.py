@@ -104,10 +104,11 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def dealt(pieces: DataFrame, shards: int, key: list[str]) -> DataFrame:
-    """Pieces by shard, longest first."""
+def dealt(pieces: DataFrame, shards: int, key: list[str], spread: bool = False) -> DataFrame:
+    """Pieces by shard, longest first. Spark merges partitions of few bytes into one task; with `spread` it leaves them."""
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
-    return pieces.repartition("shard").sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece")
+    parts = [min(shards, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))] if spread else []
+    return pieces.repartition(*parts, "shard").sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece")
 
 
 def _pack(length: int):

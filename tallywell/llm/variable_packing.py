@@ -149,7 +149,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, price: Callabl
     """
     pieces = pieces_of(docs, max(capacities), path, ids=ids)
     small_batches(docs.sparkSession)
-    return dealt(pieces, shards_of(docs, ID_SHARD if ids else SHARD), ["doc_id", "piece", "ids" if ids else "n"]).mapInArrow(
+    return dealt(pieces, shards_of(docs, ID_SHARD if ids else SHARD), ["doc_id", "piece", "ids" if ids else "n"], spread=not ids).mapInArrow(
         _pack(tuple(capacities), price, ids),
         "shard int, sequence long, capacity int, used int, cost double, doc_ids array<long>, pieces array<int>, "
         "starts array<long>, lengths array<int>" + ", input_ids binary" * ids)
