@@ -199,11 +199,14 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
     """
     held = [materialise(nodes.filter(F.col("parent").isNotNull()).select("code", F.col("parent").alias("above")).distinct(), "jumps")]
     most = held[0].count()
+    # With one parent to a code, no round can give a pair twice.
+    single = held[0].select("code").distinct().count() == most
     while not held[-1].isEmpty():
         if 1 << (len(held) - 1) > most:
             return held, held[-1]
         further = held[-1].select(F.col("code").alias("above"), F.col("above").alias("_next"))
-        held.append(materialise(held[-1].join(further, "above").select("code", F.col("_next").alias("above")).distinct(), "jumps"))
+        pairs = held[-1].join(further, "above").select("code", F.col("_next").alias("above"))
+        held.append(materialise(pairs if single else pairs.distinct(), "jumps"))
     return held[:-1], None
 
 
@@ -252,19 +255,47 @@ def path_to_root(nodes: DataFrame) -> DataFrame:
     return paths.join(without, "code", "left").select("code", F.when(F.col("lost").isNull(), F.col("path")).alias("path"))
 
 
+def _steps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Codes and parents as `closure` has them, and the jumps of lines that end. Each code has one parent at most."""
+    nodes = materialise(nodes.select("code", "parent"), "nodes")
+    jumps, left = _jumps(nodes)
+    if left is not None:
+        jumps = [jump.join(left.select("code"), "code", "left_anti") for jump in jumps]
+    codes = nodes.select("code").distinct()
+    return codes, jumps
+
+
+def totals_below(leaf: DataFrame, nodes: DataFrame, amount: str = "value") -> DataFrame:
+    """(node, amount): what stands at and below each node, as `roll_up_closure` over the closure gives it, without the closure.
+
+    After round k a node holds the sum of all that lies less than 2**k below it; the next round adds to it the sums held by the
+    nodes 2**k below. So a round moves a row per node, however deep the tree is, and a root's rows combine on the map side.
+    """
+    codes, jumps = _steps(nodes)
+    own = leaf.join(codes.select(F.col("code").alias("node")), "node", "left_semi")
+    held = materialise(own.groupBy("node").agg(F.sum(amount).alias(amount)), "totals")
+    for jump in jumps:
+        raised = held.join(jump, F.col("node") == F.col("code")).select(F.col("above").alias("node"), amount)
+        held = materialise(held.unionByName(raised).groupBy("node").agg(F.sum(amount).alias(amount)), "totals")
+    return held
+
+
 def nearest_value(current: DataFrame, nodes: DataFrame, inherited: Sequence[str]) -> DataFrame:
     """A node's own latest value, or for the inherited measures the nearest ancestor's.
 
-    Each ancestor value fans out to the nodes below it once; the choice is an aggregate, so a root with all
-    nodes below it is no hot group.
+    After round k a node has the nearest value less than 2**k above it; one that has none yet takes what the node 2**k above
+    it has. So a round moves a row per node and measure at most, and no value fans out to all that lies below it.
     """
-    reach = closure(nodes)
-    offers = current.join(reach, current["node"] == reach["ancestor"]).filter(
-        (F.col("distance") == 0) | F.col("measure").isin(*inherited)
-    )
-    return offers.groupBy("code", "measure").agg(
-        F.min_by(F.struct("value", "ancestor"), "distance").alias("best")
-    ).select(F.col("code").alias("node"), "measure", F.col("best.value").alias("value"), F.col("best.ancestor").alias("from_node"))
+    codes, jumps = _steps(nodes)
+    offers = current.groupBy("node", "measure").agg(F.min(F.struct("value")).alias("_top")).select(
+        "node", "measure", F.col("_top.value").alias("value"), F.col("node").alias("from_node"))
+    held = materialise(offers.filter(F.col("measure").isin(*inherited)), "nearest")
+    for jump in jumps:
+        above = held.withColumnRenamed("node", "above")
+        offered = jump.join(above, "above").select(F.col("code").alias("node"), "measure", "value", "from_node")
+        held = materialise(held.unionByName(offered.join(held.select("node", "measure"), ["node", "measure"], "left_anti")), "nearest")
+    every = held.unionByName(offers.filter(~F.col("measure").isin(*inherited)))
+    return every.join(codes.select(F.col("code").alias("node")), "node", "left_semi")
 
 
 def org_tree(nodes: DataFrame, monthly: DataFrame) -> DataFrame:

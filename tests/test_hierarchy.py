@@ -63,3 +63,23 @@ def test_inheritance_reaches_over_many_levels(spark):
     current = spark.createDataFrame([("n0", "score", 1.0), ("n20", "score", 2.0), ("n3", "size", 3.0)], "node string, measure string, value double")
     got = {(r["node"], r["measure"]): (r["value"], r["from_node"]) for r in hierarchy.nearest_value(current, nodes, ["score"]).collect()}
     assert got == {(f"n{i}", "score"): (1.0, "n0") if i < 20 else (2.0, "n20") for i in range(30)} | {("n3", "size"): (3.0, "n3")}
+
+
+def forbidden(*_):
+    raise AssertionError("the closure is drawn")
+
+
+def test_totals_and_nearest_values_need_no_closure(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(f"c{i}", r.choice([None, "unknown", *[f"c{r.randrange(max(0, i - 4), i + 1)}"] * 8])) for i in range(90)]
+    nodes, paths = frame(spark, rows), plain(rows)[0]
+    leaf = spark.createDataFrame([(f"c{i}", float(i)) for i in range(0, 90, 2)] + [("stranger", 7.0)], "node string, value double")
+    over = {x["node"]: x["value"] for x in hierarchy.roll_up_closure(leaf, hierarchy.closure(nodes)).collect()}
+    monkeypatch.setattr(hierarchy, "_reach", forbidden)
+    assert {x["node"]: x["value"] for x in hierarchy.totals_below(leaf, nodes).collect()} == over
+    values = {f"c{i}": float(i) for i in range(0, 90, 7)} | {"unknown": 0.5}
+    current = spark.createDataFrame([(n, "score", v) for n, v in values.items()], "node string, measure string, value double")
+    lines = {code: path[::-1] if path else [code] for code, path in paths.items()}
+    expected = {code: next((n for n in line if n in values), None) for code, line in lines.items()}
+    got = {x["node"]: x["from_node"] for x in hierarchy.nearest_value(current, nodes, ["score"]).collect()}
+    assert got == {code: n for code, n in expected.items() if n is not None}
