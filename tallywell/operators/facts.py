@@ -28,10 +28,11 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- monthly fact grain -------------------------------------------------------------------------------------
 
 
-def fact_rollup(records: DataFrame, dataset: str, file_month: Column | str | None = None) -> DataFrame:
+def fact_rollup(records: DataFrame, dataset: str, file_month: Column | str | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """One row per combination of dimensions with people, disclosed pay and years of service.
 
-    Sums combine on the map side, so a crowded combination costs one row per task in the shuffle.
+    Sums combine on the map side, so a crowded combination costs one row per task in the shuffle. `only` names the
+    dimensions to keep: all of them together tell nearly all records apart, while a few give few rows with the same sums.
     """
     dims: list[Column] = []
     if dataset != "employment":
@@ -44,6 +45,11 @@ def fact_rollup(records: DataFrame, dataset: str, file_month: Column | str | Non
     for source, name in {**fixed.DATASET_DIMS[dataset], **fixed.COMMON_DIMS}.items():
         dims.append(special.get(source, F.col(source)).alias(name))
     dims.append(clean.pay_band(undisclosed_only=True).alias("pay_band"))
+    if only is not None:
+        kept = records.select(*dims).columns
+        if set(only) - set(kept):
+            raise KeyError(f"no dimensions {sorted(set(only) - set(kept))}")
+        dims = [c for c, name in zip(dims, kept) if name in only]
     people = F.col("_people")
     stated = ~F.col("annualized_adjusted_basic_pay").isin(fixed.REDACTED, "")
     return parsed(records).groupBy(*dims).agg(

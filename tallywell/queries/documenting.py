@@ -15,7 +15,7 @@ _TREND = ("age_bracket", "work_schedule_code")
 
 
 def _flows(spark: SparkSession, folder: str, kind: str, category: str, rows: DataFrame) -> DataFrame:
-    monthly = facts.fact_rollup(rows, kind, "personnel_action_effective_date_yyyymm")
+    monthly = facts.fact_rollup(rows, kind, "personnel_action_effective_date_yyyymm", ("effective_yyyymm", "org_code", category))
     dept = table(spark, folder, "nation").selectExpr("lpad(n_nationkey, 2, '0') AS agency", "concat('D:', n_regionkey) AS dept")
     placed = monthly.withColumn("agency", F.substring("org_code", 1, 2)).join(dept, "agency", "left")
     return views.flow_series(placed, category, F.array(F.lit("gov"), F.col("agency"), F.col("dept")))
@@ -24,14 +24,16 @@ def _flows(spark: SparkSession, folder: str, kind: str, category: str, rows: Dat
 def entries(spark: SparkSession, folder: str) -> DataFrame:
     """What all parts say about all nodes. Positions stand with the agency of their organisation's number."""
     values = gathering.stored_extracts(spark, folder)
-    monthly = materialise(gathering.employment_facts(spark, folder), "facts")
+    # Of the monthly facts, the dimensions that the parts read: all of them give nearly a row per record.
+    monthly = materialise(gathering.employment_facts(spark, folder, ("snapshot_yyyymm", "org_code", *_TREND)), "facts")
+    stations = materialise(locating.station_facts(spark, folder), "stations")
     agency = F.substring("org_code", 1, 2)
     people = rostering.current_roster(spark, folder).withColumn("node", F.lpad(F.replace("org_name", F.lit("ORG "), F.lit("")), 2, "0"))
     parts = [
         documents.measures(values), documents.dims(values), documents.dims_now(values),
-        documents.geography(locating.distribution(spark, folder)),
+        documents.geography(locating.distribution(spark, folder, stations)),
         documents.trend(views.dimension_trend(monthly, _TREND, F.array(F.lit("gov"), agency))),
-        documents.mix(views.mix_summary(monthly, agency)),
+        documents.mix(views.mix_summary(stations, agency)),
         documents.flows(_flows(spark, folder, "accessions", "accession_category_code", standin.accessions(spark, folder)), "accessions"),
         documents.flows(_flows(spark, folder, "separations", "separation_category_code", standin.separations(spark, folder)), "separations"),
         documents.positions(people),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,8 +197,8 @@ def _fact_sql(dataset: str, source: str) -> str:
         FROM {source}) GROUP BY ALL"""
 
 
-def employment_facts(spark: SparkSession, folder: str) -> DataFrame:
-    return facts.fact_rollup(standin.employment(spark, folder), "employment")
+def employment_facts(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+    return facts.fact_rollup(standin.employment(spark, folder), "employment", only=only)
 
 
 EMPLOYMENT_FACTS_SQL = f"{standin.EMPLOYMENT_SQL}, facts AS ({_fact_sql('employment', 'employment')})"

@@ -34,13 +34,19 @@ def _stations(spark: SparkSession, folder: str) -> DataFrame:
     return part.groupBy(parts[0]).agg(*parts[1:])
 
 
-def _located(spark: SparkSession, folder: str) -> DataFrame:
-    return geo.locate(geo.station_counts(gathering.employment_facts(spark, folder)), _stations(spark, folder))
+def station_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly facts of all months per unit and station."""
+    return gathering.employment_facts(spark, folder, ("org_code", "duty_station_code"))
 
 
-def distribution(spark: SparkSession, folder: str) -> DataFrame:
+def _located(spark: SparkSession, folder: str, facts: DataFrame | None = None) -> DataFrame:
+    facts = station_facts(spark, folder) if facts is None else facts
+    return geo.locate(geo.station_counts(facts), _stations(spark, folder))
+
+
+def distribution(spark: SparkSession, folder: str, facts: DataFrame | None = None) -> DataFrame:
     dept = table(spark, folder, "nation").selectExpr("lpad(n_nationkey, 2, '0') AS agency", "cast(n_regionkey AS string) AS dept")
-    placed = _located(spark, folder).withColumn("agency", F.substring("org_code", 1, 2)).join(dept, "agency", "left")
+    placed = _located(spark, folder, facts).withColumn("agency", F.substring("org_code", 1, 2)).join(dept, "agency", "left")
     return geo.distribution(placed, geo.node_targets(F.col("agency"), F.col("dept")))
 
 
@@ -76,7 +82,7 @@ SELECT h.node, cast(h.n AS BIGINT) AS headcount, cast(p.n AS BIGINT) AS located,
 def locations_add_up(spark: SparkSession, folder: str) -> DataFrame:
     """Classes partition the headcount of every node, counted by two routes."""
     located = distribution(spark, folder).groupBy("node").agg(F.sum("n").alias("located"))
-    monthly = gathering.employment_facts(spark, folder)
+    monthly = gathering.employment_facts(spark, folder, ("snapshot_yyyymm", "org_code"))
     heads = monthly.select(F.explode(F.array(F.lit("gov"), F.substring("org_code", 1, 2))).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("headcount"))
     return heads.join(located, "node", "left").withColumn("equal", F.col("headcount") == F.col("located"))
 
@@ -85,5 +91,5 @@ def locations_add_up(spark: SparkSession, folder: str) -> DataFrame:
 SELECT cast(sum(CASE WHEN s.code IS NULL THEN n ELSE 0 END) AS BIGINT) AS unknown, cast(sum(n) AS BIGINT) AS total, round(sum(CASE WHEN s.code IS NULL THEN n ELSE 0 END) / sum(n), 6) AS share,
   sum(CASE WHEN s.code IS NULL THEN n ELSE 0 END) / sum(n) < 0.01 AS ok FROM facts f LEFT JOIN stations s ON s.code = f.duty_station_code""")
 def unknown_station_weight(spark: SparkSession, folder: str) -> DataFrame:
-    rows = checks.unknown_weight(gathering.employment_facts(spark, folder), "duty_station_code", _stations(spark, folder))
+    rows = checks.unknown_weight(station_facts(spark, folder), "duty_station_code", _stations(spark, folder))
     return rows.withColumn("share", F.round("share", 6))

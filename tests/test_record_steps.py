@@ -1,8 +1,10 @@
 """What is worked out once per file or record, and not once more for every row that comes of it."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallywell.operators import facts
+from tallywell.queries import gathering, locating
 from tallywell.sources import records
 
 
@@ -30,3 +32,21 @@ def test_keys_are_worked_out_below_the_explode(spark):
     assert {(r["dim"], r["dim_value"], r["value"]) for r in out.collect()} == {("x", "A", 1.0), ("y", "B", 1.0), ("y", "C", 1.0)}
     above, below = plan(out).split("Generate", 1)
     assert "gettimestamp" not in above and "gettimestamp" in below
+
+
+def test_facts_of_some_dimensions_have_the_sums_of_all(spark, folder):
+    def sums(df):
+        return df.groupBy("org_code", "duty_station_code").agg(
+            F.sum("n").alias("n"), F.round(F.sum("pay_sum"), 2).alias("pay_sum"), F.sum("pay_n").alias("pay_n"), F.sum("los_sum").alias("los_sum"))
+
+    some = gathering.employment_facts(spark, folder, ("org_code", "duty_station_code"))
+    assert some.columns == ["org_code", "duty_station_code", "n", "pay_sum", "pay_n", "los_sum"]
+    assert some.count() == some.select("org_code", "duty_station_code").distinct().count()
+    assert sorted(map(str, sums(some).collect())) == sorted(map(str, sums(gathering.employment_facts(spark, folder)).collect()))
+    with pytest.raises(KeyError):
+        gathering.employment_facts(spark, folder, ("no_such_code",))
+
+
+def test_locations_read_no_dimension_but_unit_and_station(spark, folder):
+    found = plan(locating.distribution(spark, folder))
+    assert "l_suppkey" in found and "AS grade" not in found and "AS work_schedule_code" not in found
