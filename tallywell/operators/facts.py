@@ -175,13 +175,15 @@ def by_dimensions(
     df: DataFrame, keys: Mapping[str, Column], dims: Mapping[str, Column], amount: Column
 ) -> DataFrame:
     """Sum of `amount` per key and value of every dimension, in one scan and one shuffle."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), clean.dim_value(c).alias("dim_value")) for d, c in dims.items()])
     names = list(keys)
+    cells = {f"_dim{i}": clean.dim_value(c) for i, c in enumerate(dims.values())}
+    # Pairs of name and value, without an array of structs built and taken apart again for every record.
+    pairs = F.stack(F.lit(len(dims)), *[part for d, c in zip(dims, cells) for part in (F.lit(d), F.col(c))])
     return (
-        # Keys and amount stand below the explode, or they would be worked out again for every dimension.
-        df.select(*[c.alias(k) for k, c in keys.items()], amount.alias("amount"), pairs.alias("pairs"))
-        .select(*names, "amount", F.explode("pairs").alias("pair"))
-        .groupBy(*names, F.col("pair.dim").alias("dim"), F.col("pair.dim_value").alias("dim_value"))
+        # Keys and amount stand below the fan-out, or they would be worked out again for every dimension.
+        df.select(*[c.alias(k) for k, c in keys.items()], amount.alias("amount"), *[c.alias(k) for k, c in cells.items()])
+        .select(*names, "amount", pairs.alias("dim", "dim_value"))
+        .groupBy(*names, "dim", "dim_value")
         .agg(F.sum("amount").cast("double").alias("value"))
     )
 

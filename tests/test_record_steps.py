@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallywell import fixed_values as fixed
 from tallywell.operators import facts
 from tallywell.queries import gathering, locating
 from tallywell.sources import records
@@ -34,6 +35,14 @@ def test_keys_are_worked_out_below_the_explode(spark):
     assert "gettimestamp" not in above and "gettimestamp" in below
 
 
+def test_dimensions_fan_out_without_arrays_of_structs(spark):
+    rows = spark.createDataFrame([("N", "A", ""), ("N", None, "C")], "node string, x string, y string")
+    out = facts.by_dimensions(rows, {"node": F.col("node")}, {"x": F.col("x"), "y": F.col("y")}, F.lit(2))
+    assert sorted((r["dim"], r["dim_value"], r["value"]) for r in out.collect()) == [
+        ("x", "A", 2.0), ("x", fixed.BLANK, 2.0), ("y", "C", 2.0), ("y", fixed.BLANK, 2.0)]
+    assert "Generate stack(" in plan(out) and "explode" not in plan(out)
+
+
 def test_facts_of_some_dimensions_have_the_sums_of_all(spark, folder):
     def sums(df):
         return df.groupBy("org_code", "duty_station_code").agg(
