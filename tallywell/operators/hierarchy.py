@@ -244,7 +244,41 @@ def closure(nodes: DataFrame) -> DataFrame:
 
 
 def path_to_root(nodes: DataFrame) -> DataFrame:
-    """Path from the root to each node as an array of codes; null for a node whose line never ends."""
+    """Path from the root to each node as an array of codes; null for a node whose line never ends.
+
+    Each code has one parent at most; with several, what `closure` has above a code is listed by its distance. Each round puts
+    what is known of the way above a code's known way before it, so the known way doubles. A path that has reached its root
+    is written and not touched again. A line that meets a code of its own a second time never ends.
+    """
+    nodes = materialise(nodes.filter(F.col("code").isNotNull()).select("code", "parent").distinct(), "nodes")
+    codes = nodes.select("code").distinct()
+    if codes.count() < nodes.count():
+        return _listed_above(nodes)
+    ends = nodes.select(F.col("parent").alias("code")).filter(F.col("code").isNotNull()).distinct().join(codes, "code", "left_anti")
+    own = F.array("code").alias("path")
+    root = F.col("parent").isNull()
+    done = [materialise(nodes.filter(root).select("code", own), "paths")]
+    outside = materialise(ends.select("code", own), "paths")
+    going = materialise(nodes.filter(~root).select("code", own, F.col("parent").alias("above")), "paths")
+    while not going.isEmpty():
+        known = going
+        for table in [*done, outside]:
+            known = known.unionByName(table.withColumn("above", F.lit(None).cast("string")))
+        known = known.select(F.col("code").alias("above"), F.col("path").alias("_way"), F.col("above").alias("_next"))
+        # No path: the line above never ends.
+        lost = F.col("_way").isNull() | F.arrays_overlap("_way", "path")
+        further = materialise(going.join(known, "above").select(
+            "code", F.when(~lost, F.concat("_way", "path")).alias("path"), F.when(~lost, F.col("_next")).alias("above")), "paths")
+        done.append(further.filter(F.col("above").isNull()).select("code", "path"))
+        going = further.filter(F.col("above").isNotNull())
+    out = done[0]
+    for table in done[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def _listed_above(nodes: DataFrame) -> DataFrame:
+    """What stands above each code, itself included, the farthest first; null for a code whose line never ends."""
     reach, left = _reach(nodes)
     paths = reach.groupBy("code").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False), lambda s: s["ancestor"]).alias("path")

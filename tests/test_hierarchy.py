@@ -83,3 +83,17 @@ def test_totals_and_nearest_values_need_no_closure(spark, monkeypatch):
     expected = {code: next((n for n in line if n in values), None) for code, line in lines.items()}
     got = {x["node"]: x["from_node"] for x in hierarchy.nearest_value(current, nodes, ["score"]).collect()}
     assert got == {code: n for code, n in expected.items() if n is not None}
+
+
+def test_paths_need_no_closure(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(f"c{i}", r.choice([None, "unknown", *[f"c{r.randrange(max(0, i - 4), i + 1)}"] * 8, "c70"])) for i in range(90)]
+    monkeypatch.setattr(hierarchy, "_reach", forbidden)
+    paths = {row["code"]: row["path"] for row in hierarchy.path_to_root(frame(spark, [*rows, rows[3]])).collect()}
+    assert paths == plain(rows)[0] and None in paths.values()
+
+
+def test_several_parents_are_listed_by_distance(spark):
+    nodes = frame(spark, [("a", None), ("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")])
+    paths = {row["code"]: row["path"] for row in hierarchy.path_to_root(nodes).collect()}
+    assert paths["b"] == ["a", "b"] and paths["d"][-1] == "d" and set(paths["d"]) == {"a", "b", "c", "d"}
