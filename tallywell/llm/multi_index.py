@@ -24,6 +24,8 @@ No bucket is ever expanded into all of its pairs:
 
 Confirmation sends the first text of a pair once per few hundred partners and streams the partners past it.
 
+Lists of ids grow with the corpus like the texts, so all joins are merged by sorting, at every size; nothing is broadcast.
+
 Defined results: documents without words, or without a doc_id, are linked with nothing and kept; rows that repeat a
 doc_id are one document. Other columns of the input are not read.
 """
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import classes_of_links, per_batch, small_batches
+from tallywell.llm.common import classes_of_links, merged, per_batch, small_batches
 from tallywell.llm.words import as_bytes, chunks, mix, shingle_sets, word_hashes
 from tallywell.session import materialise
 
@@ -130,12 +132,16 @@ def _key_rows(errors: int):
 
 
 def _distance(left: str, right: str) -> Column:
-    """The number of differing symbols of two signatures: each symbol of the difference is folded into its lowest bit."""
+    """The number of differing symbols of two signatures.
+
+    Each symbol of the difference is folded into its lower 14 bits, and what is added carries into bit 14 if one of them
+    is set. The difference stands in the expression twice, so that plans and the code made from them stay small.
+    """
     def differing(name: str) -> Column:
         x = F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))
-        for shift in (1, 2, 4, 8):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        low = F.lit(0x3FFF3FFF3FFF3FFF)
+        folded = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(low)
+        return F.bit_count((folded + low).bitwiseAND(F.lit(0x4000400040004000)))
 
     return reduce(Column.__add__, [differing(s) for s in _SIGNATURE])
 
@@ -172,9 +178,9 @@ def _compare(size: int, percent: int):
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of (a, b) pairs those whose full sets are similar; texts is (id, text)."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
-    heads = (dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a")
+    dealt = pairs.join(merged(parts), "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    members = dealt.join(merged(texts.withColumnRenamed("id", "b")), "b").select("a", "part", "b", "text")
+    heads = (dealt.select("a", "part").distinct().join(merged(texts.withColumnRenamed("id", "a")), "a")
              .select("a", "part", F.lit(None).cast("long").alias("b"), "text"))
     rows = members.unionAll(heads).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     small_batches(rows.sparkSession)
@@ -192,15 +198,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         .agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("n_shingles", *_SIGNATURE)]), "classes")
     keys = per_batch(classes.select("id", *_SIGNATURE), _key_rows(errors), "key long, id long")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = materialise(keys.join(heads, "key"), "buckets")
+    buckets = materialise(keys.join(merged(heads), "key"), "buckets")
 
-    marked = classes.select("id", "n_shingles", *_SIGNATURE)
+    marked = merged(classes.select("id", "n_shingles", *_SIGNATURE))
     spokes = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     pairs = materialise(
         spokes.join(marked.alias("x"), F.col("a") == F.col("x.id")).join(marked.alias("y"), F.col("b") == F.col("y.id"))
         .where(_near("x", "y", errors, percent)).select("a", "b"), "pairs")
-    # The list grows with the corpus, so it is never broadcast; the plan is the same at every size.
-    wanted = buckets.select("id").distinct().hint("merge")
+    wanted = merged(buckets.select("id").distinct())
     texts = materialise(documents.withColumnRenamed("doc_id", "id").join(wanted, "id").dropDuplicates(["id"]), "texts")
 
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -212,21 +217,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 
     named = classes.select("set_name", F.col("id").alias("class_id"))
     component = F.coalesce("component_id", "class_id", "doc_id")
-    return (prepared.select("doc_id", "n_shingles", "set_name").join(named, "set_name", "left")
+    return (prepared.select("doc_id", "n_shingles", "set_name").join(merged(named), "set_name", "left")
             .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
-            .join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
+            .join(merged(labels.withColumnRenamed("id", "class_id")), "class_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),
                     component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
 
 
 def _label(rows: DataFrame, labels: DataFrame, name: str, to: str) -> DataFrame:
     """Adds the component of the id in column `name`; an id without links is its own."""
-    return (rows.join(labels.select(F.col("id").alias(name), F.col("component_id").alias(to)), name, "left")
+    return (rows.join(merged(labels.select(F.col("id").alias(name), F.col("component_id").alias(to))), name, "left")
             .withColumn(to, F.coalesce(to, name)))
 
 
 def _unconnected_spokes(pairs: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
-    rest = pairs.join(first, ["a", "b"], "left_anti")
+    rest = pairs.join(merged(first), ["a", "b"], "left_anti")
     return materialise(_label(_label(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b"), "pairs")
 
 
@@ -274,7 +279,7 @@ def _links_of_members(buckets: DataFrame, marked: DataFrame, texts: DataFrame, l
              .where("labels > 1").select("key", F.col("top.most").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / SIDE).alias("rows"),
                                          F.ceil(F.col("all") / SIDE).alias("columns")))
     open_members = materialise(
-        members.join(mixed, "key").join(marked, "id").select("key", "id", "head", "label", "most", "rows", "columns", "n_shingles", *_SIGNATURE), "members")
+        members.join(merged(mixed), "key").join(marked, "id").select("key", "id", "head", "label", "most", "rows", "columns", "n_shingles", *_SIGNATURE), "members")
     # Pairs with the head have been compared: a bucket of two has no other.
     rest = open_members.where("id <> head")
     # A bucket is a grid of cells: one side is dealt to rows and copied to all columns, the other the other way round.
@@ -285,19 +290,21 @@ def _links_of_members(buckets: DataFrame, marked: DataFrame, texts: DataFrame, l
     all_ = rest.select("*", *placed_on("columns", "rows", ("across", "down"))).alias("y")
     same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "down", "across")])
     near = same & (F.col("x.label") != F.col("y.label")) & _near("x", "y", errors, percent)
-    open_rows = materialise(few.join(all_, near, "left_semi").select("key", "id", "label")
-                            .unionAll(all_.join(few, near, "left_semi").select("key", "id", "label")).distinct(), "open")
-    stars = open_rows.join(open_rows.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b")).distinct()
+    open_rows = materialise(few.join(merged(all_), near, "left_semi").select("key", "id", "label")
+                            .unionAll(all_.join(merged(few), near, "left_semi").select("key", "id", "label")).distinct(), "open")
+    stars = open_rows.join(merged(open_rows.groupBy("key").agg(F.min("id").alias("a"))), "key").select("a", F.col("id").alias("b")).distinct()
     cluster = classes_of_links(stars).withColumnRenamed("component_id", "cluster")
-    placed = materialise(open_rows.select("id", "label").distinct().join(cluster, "id"), "placed")
-    tops = (placed.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-            .groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-            .select("cluster", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks")))
-    put = placed.join(tops, "cluster").where("blocks > 0")
+    placed = materialise(open_rows.select("id", "label").distinct().join(merged(cluster), "id"), "placed")
+    # Written, so that the join's sides are plain exchanges and the rows of a crowded cluster can be split among tasks.
+    tops = materialise(
+        placed.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+        .groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+        .select("cluster", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks")), "tops")
+    put = placed.join(merged(tops), "cluster").where("blocks > 0")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     heads = put.where("label <> most").select("cluster", block.alias("block"), F.lit(0).alias("role"), "id", "label")
     others = put.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "label")
-    rows = (heads.unionAll(others).join(texts, "id").select("cluster", "block", "role", "id", "label", "text")
+    rows = (heads.unionAll(others).join(merged(texts), "id").select("cluster", "block", "role", "id", "label", "text")
             .repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role", "id"))
     small_batches(rows.sparkSession)
     return materialise(rows.mapInArrow(_compare_blocks(size, percent), "a long, b long"), "links")

@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from tallywell.llm import multi_index
+from tallywell.llm import common, multi_index
 from tallywell.llm.common import classes_of_links
+from tallywell.session import materialise
 
 from .fixtures import lower, odd_rows, rows_to_docs, words_of
 
@@ -99,3 +100,30 @@ def test_crowded_buckets_are_compared_in_cells(spark, monkeypatch):
             rows.append((100 * member + family, " ".join(words)))
     found = multi_index.near_duplicates(rows_to_docs(spark, rows), 3, 0.85).select("doc_id", "n_shingles", "component_id", "kept")
     assert sorted(map(tuple, found.collect()), key=str) == brute_force(rows, 3, 85)
+
+
+def test_no_list_of_ids_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def planned(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, label)
+
+    monkeypatch.setattr(common, "materialise", planned)
+    monkeypatch.setattr(multi_index, "materialise", planned)
+    found = multi_index.near_duplicates(rows_to_docs(spark, odd_rows(9)), 3, 0.85)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 20 and sum("SortMergeJoin" in p for p in plans) > 5
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_distance_counts_differing_symbols(spark):
+    r = np.random.default_rng(11)
+    a = r.integers(0, 1 << 16, (200, multi_index.SYMBOLS)).astype(np.uint16)
+    b = np.where(r.random(a.shape) < 0.4, a ^ (1 << r.integers(0, 16, a.shape)).astype(np.uint16), a)
+    a[0], b[0], b[1] = 0, 0xFFFF, a[1]
+    names = multi_index._SIGNATURE
+    sides = [spark.createDataFrame([(i, *row) for i, row in enumerate(side.view(np.int64).tolist())], ", ".join(f"{n} long" for n in ["id", *names])).alias(alias)
+             for side, alias in ((a, "x"), (b, "y"))]
+    rows = sides[0].join(sides[1], "id").select("id", multi_index._distance("x", "y").alias("d")).collect()
+    assert {row["id"]: row["d"] for row in rows} == dict(enumerate((a != b).sum(axis=1).tolist()))
